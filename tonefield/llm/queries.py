@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, embeddups, langid, packing, topk, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_url_reputation": urls.op2_url_reputation,
+    "op5_exact_top_k": topk.op5_exact_top_k,
+    "op6_language_id": langid.op6_language_id,
+    "op8_embedding_near_dedup": embeddups.op8_embedding_near_dedup,
+    "op9_warc_bundles": warc.op9_warc_bundles,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+#: Queries that SQL cannot express are held against brute force in tests instead.
+ORACLES: dict[str, str] = {
+    "op2_url_reputation": urls.SQL,
+    "op5_exact_top_k": topk.SQL,
+    "op8_embedding_near_dedup": embeddups.SQL,
+    "op9_warc_bundles": warc.SQL,
+}
