@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddups, langid, packing, topk, urls, warc
+from . import bpe, embeddups, langid, ngram_join, packing, topk, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_url_reputation": urls.op2_url_reputation,
+    "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_language_id": langid.op6_language_id,
     "op8_embedding_near_dedup": embeddups.op8_embedding_near_dedup,
