@@ -103,7 +103,7 @@ def level(total: np.ndarray) -> np.ndarray:
 def count(table: DataFrame, values: Callable[[Docs], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """values(docs) -> sorted distinct uint64 values and how often each counts in this chunk.
 
-    (chunk, part, levels): for each part of the chunk's sorted values, in order, the level of the value's total count.
+    (chunk, part, data): for each part of the chunk's sorted values, in order, the level of the value's total count.
     Values are compared by 32 bits beyond their part's; two different values that agree there are counted together.
     """
     spark = table.sparkSession
@@ -143,27 +143,32 @@ def count(table: DataFrame, values: Callable[[Docs], tuple[np.ndarray, np.ndarra
             total = np.add.reduceat(times[order].astype(np.int64), first)
             out = np.empty(len(low), np.uint8)
             out[order] = np.repeat(level(total), np.diff(np.append(first, len(low))))
-            yield pd.DataFrame({"chunk": [r[0] for r in rows], "part": part, "levels": [out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]})
+            yield pd.DataFrame({"chunk": [r[0] for r in rows], "part": part, "data": [out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]})
 
     sent = table.select("chunk", "docs").mapInPandas(send, "part int, chunk string, low binary, at binary, times binary")
     with small_batches(spark, 64):
-        return common.materialize(sent.repartition(common.width(spark), "part").mapInPandas(add, "chunk string, part int, levels binary"))
+        return common.materialize(sent.repartition(common.width(spark), "part").mapInPandas(add, "chunk string, part int, data binary"))
 
 
-def answered(table: DataFrame, levels: DataFrame, then: Callable[[str, Docs, np.ndarray], Iterator], schema: str) -> DataFrame:
-    """then(chunk, docs, levels of the chunk's sorted distinct values) -> frames."""
-    spark = table.sparkSession
-    both = levels.select("chunk", "part", F.col("levels").alias("data")).unionAll(table.select("chunk", F.lit(2**31 - 1).alias("part"), F.col("docs").alias("data")))
+def answered(table: DataFrame, answers: DataFrame, then: Callable[[str, Docs, list[tuple[int, bytes]]], Iterator], schema: str) -> DataFrame:
+    """answers (chunk, part, data): then(chunk, docs, the chunk's [(part, data)] by part) -> frames."""
+    spark, last = table.sparkSession, 2**31 - 1
+    both = answers.select("chunk", "part", "data").unionAll(table.select("chunk", F.lit(last).alias("part"), F.col("docs").alias("data")))
 
     def run(batches):
-        held: list[bytes] = []
+        held: list[tuple[int, bytes]] = []
         for pdf in batches:
-            for chunk, part, data in zip(pdf["chunk"], pdf["part"], pdf["data"], strict=True):
-                if part < 2**31 - 1:
-                    held.append(data)
+            for chunk, part, data in zip(pdf["chunk"], pdf["part"].tolist(), pdf["data"], strict=True):
+                if part < last:
+                    held.append((part, data))
                     continue
-                yield from then(chunk, Docs.unpack(data), np.frombuffer(b"".join(held), np.uint8))
+                yield from then(chunk, Docs.unpack(data), held)
                 held = []
 
     with small_batches(spark, 64):
         return common.materialize(both.repartition(common.width(spark), "chunk").sortWithinPartitions("chunk", "part").mapInPandas(run, schema))
+
+
+def levels_of(answers: list[tuple[int, bytes]]) -> np.ndarray:
+    """What `count` answered, for the chunk's sorted distinct values."""
+    return np.frombuffer(b"".join(data for _, data in answers), np.uint8)

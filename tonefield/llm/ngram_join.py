@@ -57,9 +57,10 @@ def _info(n: int, percent: int):
     """A row a document: size, key of the set, key of the prefix; what can be shared of the prefix, and the set itself
     if anything can."""
 
-    def then(_, docs, levels):
+    def then(_, docs, answers):
         import pandas as pd
 
+        levels = exchange.levels_of(answers)
         sets = shingle_sets(docs.texts, n)
         known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
         rows = []

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddups, langid, ngram_join, packing, topk, urls, warc
+from . import bpe, embeddups, langid, ngram_join, packing, suffixes, topk, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_language_id": langid.op6_language_id,
+    "op7_suffix_array_dedup": suffixes.op7_suffix_array_dedup,
     "op8_embedding_near_dedup": embeddups.op8_embedding_near_dedup,
     "op9_warc_bundles": warc.op9_warc_bundles,
     "op10_byte_bpe": bpe.op10_byte_bpe,
