@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, embeddups, langid, ngram_join, packing, suffixes, topk, urls, warc
+from . import bpe, embeddups, langid, lines, ngram_join, packing, suffixes, topk, urls, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
     "op2_url_reputation": urls.op2_url_reputation,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_ngram_jaccard_join": ngram_join.op4_ngram_jaccard_join,
     "op5_exact_top_k": topk.op5_exact_top_k,
     "op6_language_id": langid.op6_language_id,
