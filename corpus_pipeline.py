@@ -1,7 +1,72 @@
-"""Placeholder of the corpus pipeline until its operators exist."""
+"""The corpus pipeline: documents in, packed training sequences out.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each stage's rows to the shared folder and reads them again
+as the next one's docs. All stages but the last return the columns of documents.
+"""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tonefield.llm import common, langid, lines, ngram_join, packing, suffixes
+
+#: A document is kept if its language's posterior reaches this.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter, and those whose language stays open. The model learns from docs."""
+    judged = langid.predict(docs, langid.fit(docs), keep=docs.columns)
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def _with_text(docs: DataFrame, made: DataFrame) -> DataFrame:
+    """docs with the texts of made (doc_id, h, text: what is left of it). Documents that lost everything go; n_chars follows the text."""
+    own = docs.withColumn("h", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).withColumn("had", F.trim(F.coalesce(F.col("text"), F.lit(""))) != "")
+    new = made.select(F.col("doc_id").alias("made_id"), F.col("h").alias("made_h"), F.col("text").alias("made_text")).dropDuplicates(["made_id", "made_h"])
+    both = own.drop("text").join(new, own["doc_id"].eqNullSafe(new["made_id"]) & (own["h"] == new["made_h"]))
+    both = both.where(~(F.col("had") & (F.regexp_replace("made_text", r"\s+", "") == ""))).withColumn("text", F.col("made_text"))
+    return both.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated line runs."""
+    return _with_text(docs, lines.dedup(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
+    found = ngram_join.join(docs, words=5, percent=80)
+    drop = found.where(F.col("component_id") < F.col("doc_id")).select("doc_id", "h")
+    own = docs.withColumn("h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return own.join(drop, ["doc_id", "h"], "left_anti").select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes 100-byte strings that also start earlier."""
+    return _with_text(docs, suffixes.repeats(docs, with_text=True))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of all pieces in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("repeated_lines", repeated_lines),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
+    ("packed", packed),
+]
+
+#: SQL expresses neither the models nor the components; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = common.materialize(stage(spark, docs, sf_dir))
+    return docs
