@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 import numpy as np
@@ -20,19 +21,54 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tonefield-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     """Writes df once to the shared folder and returns a reader of it: the lineage ends there,
-    so a lost executor costs no more than the tasks it ran."""
+    so a lost executor costs no more than the tasks it ran. Inside `scratch` the table goes at its end, unless kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table"
     df.write.parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Working tables written inside are deleted at the end. What is returned must have been written with keep=True."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path.removesuffix("/table"))
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def trimmed(run):
+    """A task's function that hands its freed memory back at the end: workers live on and share an executor's limit."""
+
+    def kept(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow
+
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library
+            pass
+
+    return kept
+
+
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -82,7 +118,7 @@ def _local_stars(batches):
             held_a.append(pdf["a"].to_numpy())
             held_b.append(pdf["b"].to_numpy())
             n += len(pdf)
-            if n > 2_000_000:
+            if n > 500_000:
                 v, m = folded()
                 held_a, held_b, n = [v], [m], 0
     if held_a:
@@ -97,7 +133,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     each round is written to the shared folder. Hot nodes are reduced by map-side minima, the joins
     back are plain inner joins which adaptive execution may split.
     """
-    now = materialize(edges.select("a", "b").where("a <> b").mapInPandas(_local_stars, "a long, b long"))
+    now = materialize(edges.select("a", "b").where("a <> b").mapInPandas(trimmed(_local_stars), "a long, b long"))
     before = None
     for _ in range(rounds):
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -26,13 +26,15 @@ CHUNK = "chunk string, n int, docs binary"
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, rows: int):
     """Rows here are blocks of megabytes, so fewer go into an Arrow batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {x: spark.conf.get(x) for x in names}
+    for x in names:
+        spark.conf.set(x, str(rows))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for x in names:
+            spark.conf.set(x, before[x])
 
 
 @dataclass
@@ -82,7 +84,8 @@ def chunks(docs: DataFrame) -> DataFrame:
         if ids:
             yield packed()
 
-    return common.materialize(docs.select("doc_id", "h", "text").mapInPandas(run, CHUNK))
+    with small_batches(docs.sparkSession, 1000):
+        return common.materialize(docs.select("doc_id", "h", "text").mapInPandas(common.trimmed(run), CHUNK))
 
 
 def parts_for(spark: SparkSession) -> int:
@@ -145,12 +148,12 @@ def count(table: DataFrame, values: Callable[[Docs], tuple[np.ndarray, np.ndarra
             out[order] = np.repeat(level(total), np.diff(np.append(first, len(low))))
             yield pd.DataFrame({"chunk": [r[0] for r in rows], "part": part, "data": [out[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]})
 
-    sent = table.select("chunk", "docs").mapInPandas(send, "part int, chunk string, low binary, at binary, times binary")
-    with small_batches(spark, 64):
-        return common.materialize(sent.repartition(common.width(spark), "part").mapInPandas(add, "chunk string, part int, data binary"))
+    sent = table.select("chunk", "docs").mapInPandas(common.trimmed(send), "part int, chunk string, low binary, at binary, times binary")
+    with small_batches(spark, 8):
+        return common.materialize(sent.repartition(common.width(spark), "part").mapInPandas(common.trimmed(add), "chunk string, part int, data binary"))
 
 
-def answered(table: DataFrame, answers: DataFrame, then: Callable[[str, Docs, list[tuple[int, bytes]]], Iterator], schema: str) -> DataFrame:
+def answered(table: DataFrame, answers: DataFrame, then: Callable[[str, Docs, list[tuple[int, bytes]]], Iterator], schema: str, keep: bool = False) -> DataFrame:
     """answers (chunk, part, data): then(chunk, docs, the chunk's [(part, data)] by part) -> frames."""
     spark, last = table.sparkSession, 2**31 - 1
     both = answers.select("chunk", "part", "data").unionAll(table.select("chunk", F.lit(last).alias("part"), F.col("docs").alias("data")))
@@ -165,8 +168,8 @@ def answered(table: DataFrame, answers: DataFrame, then: Callable[[str, Docs, li
                 yield from then(chunk, Docs.unpack(data), held)
                 held = []
 
-    with small_batches(spark, 64):
-        return common.materialize(both.repartition(common.width(spark), "chunk").sortWithinPartitions("chunk", "part").mapInPandas(run, schema))
+    with small_batches(spark, 8):
+        return common.materialize(both.repartition(common.width(spark), "chunk").sortWithinPartitions("chunk", "part").mapInPandas(common.trimmed(run), schema), keep)
 
 
 def levels_of(answers: list[tuple[int, bytes]]) -> np.ndarray:

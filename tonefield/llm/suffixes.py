@@ -7,7 +7,8 @@ A byte goes if a string of `length` bytes that covers it also starts earlier (sm
    repeated anchors go on. How often anchors occur comes from exchange.count.
 2. These runs are dealt by anchor; equal runs count once, with their earliest place, first inside their chunk, then
    where they meet. Anchors of very many places are dealt by more of their surroundings.
-3. Where an anchor has different runs, the suffixes of all of them are sorted by the difference-cover algorithm: sampled
+3. Where an anchor has different runs, they are cut into bands of 17 windows with 84 bytes in common, and bands that share these with another
+   are kept. Where such bands differ, the suffixes of all of them are sorted by the difference-cover algorithm: sampled
    triples are sorted and named, the names' string is sorted recursively, the remaining suffixes are sorted by their first byte and the
    rank of the next suffix, and both are merged. Neighbours that agree in `length` bytes are equal windows; all but the earliest go.
 4. Removed ranges return to their chunks, which join them and hash what is left.
@@ -28,7 +29,7 @@ from . import common, exchange
 from .words import mix, powers
 
 LENGTH, GRAM = 100, 32
-PIECE = 1 << 20
+PIECE = 1 << 18
 BYTE = np.random.default_rng(77).integers(0, 2**64, 256, dtype=np.uint64)
 #: Level (see exchange.level) from which an anchor's runs are dealt by their surroundings: 4096 places.
 HOT = 48
@@ -83,7 +84,7 @@ class Runs:
         half = (length - gram) // 2
         left = hashed(np.maximum(p - half, 0), p + gram)
         right = hashed(p, np.minimum(p + gram + half, len(b)))
-        return p + a, first + a, last + a, grams[p], hashed(first, last + length), left, right
+        return p + a, first + a, last + a, mix(grams[p] + np.uint64(0x3C6EF372FE94F82B)), hashed(first, last + length), left, right
 
 
 def anchors(length: int, gram: int):
@@ -130,25 +131,24 @@ def sent(length: int, gram: int, bits: int, hot_level: int):
             whole = np.concatenate(parts)
             content = mix(content[whole] + (first2 - first[whole]).astype(np.uint64) * np.uint64(257) + (last2 - last[whole]).astype(np.uint64) * np.uint64(0x10001F))
             # runs that differ outside the cut part may still be equal inside: they then meet as different runs, which is right too
-            doc, first, last = doc[whole], first2, last2
+            doc, first, last, anchor = doc[whole], first2, last2, anchor[whole]
         start = first - r.doc_start[doc]
         size = last - first + length
         order = np.lexsort((start, docs.ids[doc], content, key))
-        key, content, doc, first, start, size = (x[order] for x in (key, content, doc, first, start, size))
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])]) if len(key) else np.zeros(0, bool)
-        head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else np.zeros(0, np.int64)
+        ahead = anchor - first
+        key, content, doc, first, start, size, ahead = (x[order] for x in (key, content, doc, first, start, size, ahead))
         ids = docs.ids[doc] if len(doc) else np.zeros(0, np.int64)
-        gone = (ids > ids[head]) | (start > start[head]) & (ids == ids[head])
+        gone = earliest(key, content, ids, start)
         rows = [(-1, chunk, ranges_blob(doc[gone], start[gone], (start + size)[gone]))] if gone.any() else []
-        stays = ~gone & (new | (np.arange(len(new)) != head))
-        key, content, doc, first, start, size, ids = (x[stays] for x in (key, content, doc, first, start, size, ids))
+        stays = ~gone
+        key, content, doc, first, start, size, ahead, ids = (x[stays] for x in (key, content, doc, first, start, size, ahead, ids))
         cut = exchange.cut(key, bits)
         edges = [0, *cut.tolist(), len(key)]
         packer = zstandard.ZstdCompressor(level=3)
         for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
             if b > a:
                 s = slice(a, b)
-                data = (key[s].tobytes(), content[s].tobytes(), ids[s].tobytes(), start[s].astype(np.int64).tobytes(), doc[s].astype(np.int32).tobytes(), size[s].astype(np.int32).tobytes(), gathered(r.raw, first[s], size[s]).tobytes())
+                data = (key[s].tobytes(), content[s].tobytes(), ids[s].tobytes(), start[s].astype(np.int64).tobytes(), doc[s].astype(np.int32).tobytes(), size[s].astype(np.int32).tobytes(), ahead[s].astype(np.int32).tobytes(), gathered(r.raw, first[s], size[s]).tobytes())
                 rows.append((p, chunk, packer.compress(pickle.dumps(data))))
         yield pd.DataFrame(rows, columns=["part", "chunk", "data"])
 
@@ -202,62 +202,125 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def equal_windows(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """starts of windows in the order of the suffix array -> number of each one's class of equal windows (ascending)."""
-    eight = np.zeros(len(text) + 8, np.uint64)
-    padded = np.concatenate([text, np.zeros(16, text.dtype)]).astype(np.uint64)
+def eights(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number."""
+    out = np.zeros(len(text) + 8, np.uint64)
+    padded = np.concatenate([text, np.zeros(16, np.uint8)])
     for k in range(8):
-        eight |= padded[k : k + len(eight)] << np.uint64(8 * k)
+        out |= padded[k : k + len(out)].astype(np.uint64) << np.uint64(8 * k)
+    return out
+
+
+def steps(length: int) -> list[int]:
+    """Where eight-byte pieces of `length` bytes begin."""
+    return [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]
+
+
+def equal_windows(eight: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """starts of windows in the order of the suffix array -> number of each one's class of equal windows (ascending)."""
     a, b = starts[:-1], starts[1:]
     same = np.ones(len(a), bool)
-    for off in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+    for off in steps(length):
         same &= eight[a + off] == eight[b + off]
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-def repeated(length: int):
+#: Windows of a run whose anchors lie within so many bytes of each other inside the window share all but that many bytes.
+BAND = 16
+
+
+def shared_cores(raw: np.ndarray, at: np.ndarray, size: np.ndarray, ahead: np.ndarray, key: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs (at, size in raw; the anchor is `ahead` bytes in) are cut into bands of windows that place the anchor alike. A band's windows
+    have a core of length - BAND bytes in common; bands whose core no other run has are unique and go.
+
+    (run, first window in raw, windows) of the others, and the band's key and content as hashes.
+    """
+    eight = eights(raw)
+    free = length - gram
+    anchor, last = at + ahead, at + size - length
+    out = []
+    for low in range(0, free + 1, BAND + 1):
+        high = min(low + BAND, free)  # bytes before the anchor
+        first, stop = np.maximum(anchor - high, at), np.minimum(anchor - low, last)
+        run = np.flatnonzero(first <= stop)
+        core, wide = anchor[run] - low, length - (high - low)
+        h = key[run] + np.uint64(low + 1)
+        for off in steps(wide):
+            h = mix(h * np.uint64(0xD6E8FEB86659FD93) + eight[core + off])
+        _, which, times = np.unique(h, return_inverse=True, return_counts=True)
+        again = times[which] > 1
+        run, h = run[again], h[again]
+        first, stop = first[run], stop[run]
+        c = mix((anchor[run] - first).astype(np.uint64) * np.uint64(1024) + (stop - first).astype(np.uint64))
+        for place in (first, first + 8, stop + length - 16, stop + length - 8):
+            c = mix(c * np.uint64(0xD6E8FEB86659FD93) + eight[place])
+        out.append((run, first, stop - first + 1, h, c))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def earliest(key, content, ids, start) -> np.ndarray:
+    """Of rows in the order of (key, content, ids, start): whether a row with its (key, content) stands earlier."""
+    if not len(key):
+        return np.zeros(0, bool)
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return (ids > ids[head]) | (start > start[head]) & (ids == ids[head])
+
+
+def repeated(length: int, gram: int):
     """Runs of one part from all chunks -> removed ranges, a row a chunk."""
 
     def of_part(rows):
         import zstandard
 
         unpacked = [pickle.loads(zstandard.ZstdDecompressor().decompress(data)) for _, data in rows]
-        key, content, ids, start, doc, size = (np.concatenate([np.frombuffer(u[k], kind) for u in unpacked]) for k, kind in enumerate((np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32)))
-        raw = np.frombuffer(b"".join(u[6] for u in unpacked), np.uint8)
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int32, np.int32, np.int32)
+        key, content, ids, start, doc, size, ahead = (np.concatenate([np.frombuffer(u[k], kind) for u in unpacked]) for k, kind in enumerate(kinds))
+        raw = np.frombuffer(b"".join(u[7] for u in unpacked), np.uint8)
         chunk = np.repeat(np.arange(len(rows)), [len(u[0]) // 8 for u in unpacked])
+        del unpacked
         at = np.concatenate([[0], np.cumsum(size[:-1], dtype=np.int64)])
         order = np.lexsort((start, ids, content, key))
-        key, content, ids, start, doc, size, chunk, at = (x[order] for x in (key, content, ids, start, doc, size, chunk, at))
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
-        heads = np.flatnonzero(new)
-        head = heads[np.cumsum(new) - 1]
-        gone = (ids > ids[head]) | (start > start[head]) & (ids == ids[head])
+        key, content, ids, start, doc, size, ahead, chunk, at = (x[order] for x in (key, content, ids, start, doc, size, ahead, chunk, at))
+        gone = earliest(key, content, ids, start)
         out = [(chunk[gone], doc[gone], start[gone], start[gone] + size[gone])]
-        # what is first of its kind, where its anchor has other kinds too
+        # what is first of its kind, where its anchor has other kinds too: bands of windows with a core in common
+        heads = np.flatnonzero(~gone)  # the same document twice stays twice
         k = key[heads]
-        several = np.concatenate([[False], k[1:] == k[:-1]]) | np.concatenate([k[1:] == k[:-1], [False]])
-        h = heads[several]
-        if len(h):
-            sizes = size[h].astype(np.int64) + 1
+        same = k[1:] == k[:-1]
+        h = heads[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(k) else heads
+        run, first, windows, core, kind = shared_cores(raw, at[h], size[h].astype(np.int64), ahead[h].astype(np.int64), key[h], length, gram)
+        run = h[run]
+        begin = start[run] + first - at[run]
+        order = np.lexsort((begin, ids[run], kind, core))
+        run, first, windows, core, kind, begin = (x[order] for x in (run, first, windows, core, kind, begin))
+        gone = earliest(core, kind, ids[run], begin)
+        out.append((chunk[run][gone], doc[run][gone], begin[gone], (begin + windows + length - 1)[gone]))
+        heads = np.flatnonzero(~gone)  # the same document twice stays twice
+        k = core[heads]
+        same = k[1:] == k[:-1]
+        g = heads[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(k) else heads
+        if len(g):
+            run, first, windows, begin = run[g], first[g], windows[g], begin[g]
+            sizes = windows + length  # with an end mark
             text = np.zeros(int(sizes.sum()), np.uint8)
             to = np.cumsum(sizes) - sizes
             inside = np.ones(len(text), bool)
             inside[to + sizes - 1] = False
-            text[inside] = gathered(raw, at[h], sizes - 1)
+            text[inside] = gathered(raw, first, sizes - 1)
             symbols = text.astype(np.int64) + 2
             symbols[~inside] = 1
-            windows = np.zeros(len(text) + 1, np.int64)
-            np.add.at(windows, to, 1), np.add.at(windows, to + sizes - length, -1)
-            is_window = np.cumsum(windows[:-1]) > 0
+            edges = np.zeros(len(text) + 1, np.int64)
+            np.add.at(edges, to, 1), np.add.at(edges, to + windows, -1)
+            is_window = np.cumsum(edges[:-1]) > 0
             sa = suffix_array(symbols)
             sa = sa[is_window[sa]]
-            group = equal_windows(text, sa, length)
-            run = np.searchsorted(to, sa, "right") - 1
-            w_start = start[h][run] + sa - to[run]
-            w_ids = ids[h][run]
+            group = equal_windows(eights(text), sa, length)
+            own = np.searchsorted(to, sa, "right") - 1
+            w_start, w_ids = begin[own] + sa - to[own], ids[run][own]
             by = np.lexsort((w_start, w_ids, group))
-            first = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))
-            lead = np.repeat(by[first], np.diff(np.append(first, len(by))))
+            edge = np.flatnonzero(np.concatenate([[True], group[by][1:] != group[by][:-1]]))
+            lead = np.repeat(by[edge], np.diff(np.append(edge, len(by))))
             later = (w_ids[by] > w_ids[lead]) | (w_start[by] > w_start[lead]) & (w_ids[by] == w_ids[lead])
             lost = np.sort(sa[by[later]])  # ascending in the text of runs: neighbours join
             if len(lost):
@@ -265,8 +328,8 @@ def repeated(length: int):
                 cut = np.flatnonzero(np.concatenate([[True], (lost[1:] != lost[:-1] + 1) | (r[1:] != r[:-1])]))
                 a, b = lost[cut], lost[np.append(cut[1:], len(lost)) - 1]
                 r = r[cut]
-                base = start[h][r] - to[r]
-                out.append((chunk[h][r], doc[h][r], a + base, b + base + length))
+                base = begin[r] - to[r]
+                out.append((chunk[run[r]], doc[run[r]], a + base, b + base + length))
         c, d, s, e = (np.concatenate(x) for x in zip(*out, strict=True))
         order = np.argsort(c, kind="stable")
         c, d, s, e = c[order], d[order], s[order], e[order]
@@ -310,7 +373,7 @@ def joined(ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int,
 RESULT = "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def finished(with_spans: bool):
+def finished(with_spans: bool, with_text: bool):
     def then(_, docs, answers):
         import hashlib
 
@@ -325,24 +388,26 @@ def finished(with_spans: bool):
                 at = e
             kept.append(text[at:])
             plain = b"".join(kept)
-            rows.append((i, h, len(text), len(text) - len(plain), len(own), hashlib.sha256(plain).hexdigest(), *[[x for r in own for x in r]] * with_spans))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")] + ["spans"] * with_spans)
+            rows.append((i, h, len(text), len(text) - len(plain), len(own), hashlib.sha256(plain).hexdigest(), *[[x for r in own for x in r]] * with_spans, *[plain.decode("utf-8", "ignore")] * with_text))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")] + ["spans"] * with_spans + ["text"] * with_text)
 
     return then
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", with_spans: bool = False, hot_level: int = HOT) -> DataFrame:
-    """(id, h, n_bytes, n_removed, n_spans, kept_sha256[, spans: start, stop, start, stop ... in bytes]), a row for each row of docs."""
+def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", with_spans: bool = False, with_text: bool = False, hot_level: int = HOT) -> DataFrame:
+    """(id, h, n_bytes, n_removed, n_spans, kept_sha256[, spans: start, stop, start, stop ... in bytes][, text: what is kept, without
+    characters of which only a part is kept]), a row for each row of docs."""
     spark = docs.sparkSession
     bits = exchange.parts_for(spark).bit_length() - 1
     lowest = -(2**63)
     keyed = common.with_key(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
-    table = exchange.chunks(keyed.withColumns({"doc_id": F.coalesce("doc_id", F.lit(lowest)), "text": F.coalesce("text", F.lit(""))}))
-    runs = exchange.answered(table, exchange.count(table, anchors(length, gram)), sent(length, gram, bits, hot_level), "part int, chunk string, data binary")
-    with exchange.small_batches(spark, 64):
-        met = common.materialize(runs.where("part >= 0").repartition(common.width(spark), "part").sortWithinPartitions("part").mapInPandas(repeated(length), "chunk string, part int, data binary"))
-    answers = met.unionByName(runs.where("part < 0"))
-    out = exchange.answered(table, answers, finished(with_spans), RESULT + ", spans array<long>" * with_spans)
+    with common.scratch(spark):
+        table = exchange.chunks(keyed.withColumns({"doc_id": F.coalesce("doc_id", F.lit(lowest)), "text": F.coalesce("text", F.lit(""))}))
+        runs = exchange.answered(table, exchange.count(table, anchors(length, gram)), sent(length, gram, bits, hot_level), "part int, chunk string, data binary")
+        with exchange.small_batches(spark, 8):
+            met = common.materialize(runs.where("part >= 0").repartition(common.width(spark), "part").sortWithinPartitions("part").mapInPandas(common.trimmed(repeated(length, gram)), "chunk string, part int, data binary"))
+        answers = met.unionByName(runs.where("part < 0"))
+        out = exchange.answered(table, answers, finished(with_spans, with_text), RESULT + ", spans array<long>" * with_spans + ", text string" * with_text, keep=True)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id"))).withColumnRenamed("doc_id", id_column)
 
 

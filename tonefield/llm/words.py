@@ -12,7 +12,7 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
