@@ -16,8 +16,8 @@ from ..functions import vocab as V
 def tokens(sentences: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
     """(keys, sentence, i, token, start, stop): words between blanks without their outer punctuation, with offsets."""
     rows = sentences.select(*keys, column, F.posexplode(F.split(column, " ", -1)).alias("i", "raw"))
-    lengths = F.transform(F.slice(F.split(F.col(column), " ", -1), F.lit(1), F.col("i")), lambda x: F.length(x) + 1)
-    rows = rows.withColumn("at", F.aggregate(lengths, F.lit(0), lambda a, x: a + x))
+    before = W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).cast("int"))
     lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^[.,!?;:\"'()\[\]{}]+", ""))
     token = F.regexp_replace("raw", r"^[.,!?;:\"'()\[\]{}]+|[.,!?;:\"'()\[\]{}]+$", "")
     rows = rows.select(*keys, column, "i", token.alias("token"), (F.col("at") + lead).alias("start"))
