@@ -116,7 +116,7 @@ def _postings(percent: int):
                     keys.append(mix(tokens + np.uint64(c * 0x632BE59BD9B4E019 % 2**64)))
                     nodes.append(np.full(len(tokens), node, np.int64))
                 held += 2 * len(tokens)
-            if held > 4_000_000:
+            if held > 1_000_000:
                 k, v = folded()
                 keys, nodes, held = [k], [v], 0
         if keys:
@@ -196,34 +196,35 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "d
     """(id, n_shingles, component_id), a row for each row of docs."""
     spark = docs.sparkSession
     keyed = common.with_key(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
-    table = exchange.chunks(keyed.where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))))
-    info = exchange.answered(table, exchange.count(table, _values(words)), _info(words, percent), INFO)
-    # 1. equal sets, and groups of equal prefix and size
-    sets = info.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.min("p1").alias("p1"))
-    able = info.where("prefix IS NOT NULL")
-    one = able.join(sets.select("n", "k1", "k2", "id"), ["n", "k1", "k2", "id"], "left_semi").dropDuplicates(["n", "k1", "k2", "id"])
-    one = common.materialize(one.select("id", "n", "p1", "prefix", "own"))
-    groups = one.groupBy("n", "p1").agg(F.min("id").alias("node"))
-    heads = one.join(groups, ["n", "p1"]).where("id = node").dropDuplicates(["n", "p1"]).select("node", "n", "prefix")
-    # 2. groups that share an element
-    posted = common.materialize(heads.mapInPandas(_postings(percent), "key long, a long, b long"))
-    width = common.width(spark)
-    met = posted.where("key IS NOT NULL").select("key", "a").repartition(width, "key").mapInPandas(_meet, "a long, b long")
-    inside = one.join(groups, ["n", "p1"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    clusters = common.components(met.unionAll(posted.where("key IS NULL").select("a", "b")).unionAll(inside))
-    # 3. members of clusters, verified
-    member = clusters.select(F.col("a").alias("id"), F.col("b").alias("cluster")).unionAll(clusters.select("b", "b").distinct())
-    sizes = member.groupBy("cluster").agg(F.count("*").alias("m"))
-    dealt = one.select("id", "own").join(member.join(sizes, "cluster"), "id")
-    dealt = dealt.withColumn("tiles", F.ceil(F.col("m") / tile).cast("int")).withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("cluster", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "id", "own")
-    with exchange.small_batches(spark, 2000):
-        verified = common.materialize(dealt.repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj").mapInPandas(_verify(percent), "a long, b long"))
-    # 4. components
-    roots = common.components(verified)
-    named = sets.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("n", "k1", "k2", F.coalesce("root", "id").alias("component_id"))
-    rows = info.select("id", "h", "n", "k1", "k2").distinct().join(named, ["n", "k1", "k2"], "left").select(F.col("id").alias("doc_id"), "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    with common.scratch(spark):
+        table = exchange.chunks(keyed.where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))))
+        info = exchange.answered(table, exchange.count(table, _values(words)), _info(words, percent), INFO)
+        # 1. equal sets, and groups of equal prefix and size
+        sets = info.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.min("p1").alias("p1"))
+        able = info.where("prefix IS NOT NULL")
+        one = able.join(sets.select("n", "k1", "k2", "id"), ["n", "k1", "k2", "id"], "left_semi").dropDuplicates(["n", "k1", "k2", "id"])
+        one = common.materialize(one.select("id", "n", "p1", "prefix", "own"))
+        groups = one.groupBy("n", "p1").agg(F.min("id").alias("node"))
+        heads = one.join(groups, ["n", "p1"]).where("id = node").dropDuplicates(["n", "p1"]).select("node", "n", "prefix")
+        # 2. groups that share an element
+        posted = common.materialize(heads.mapInPandas(common.trimmed(_postings(percent)), "key long, a long, b long"))
+        width = common.width(spark)
+        met = common.materialize(posted.where("key IS NOT NULL").select("key", "a").repartition(width, "key").mapInPandas(common.trimmed(_meet), "a long, b long"))
+        inside = one.join(groups, ["n", "p1"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
+        clusters = common.components(met.unionAll(posted.where("key IS NULL").select("a", "b")).unionAll(inside))
+        # 3. members of clusters, verified
+        member = clusters.select(F.col("a").alias("id"), F.col("b").alias("cluster")).unionAll(clusters.select("b", "b").distinct())
+        sizes = member.groupBy("cluster").agg(F.count("*").alias("m"))
+        dealt = one.select("id", "own").join(member.join(sizes, "cluster"), "id")
+        dealt = dealt.withColumn("tiles", F.ceil(F.col("m") / tile).cast("int")).withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        dealt = dealt.select("cluster", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "id", "own")
+        with exchange.small_batches(spark, 500):
+            verified = common.materialize(dealt.repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj").mapInPandas(common.trimmed(_verify(percent)), "a long, b long"))
+        # 4. components
+        roots = common.components(verified)
+        named = sets.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("n", "k1", "k2", F.coalesce("root", "id").alias("component_id"))
+        rows = common.materialize(info.select("id", "h", "n", "k1", "k2").distinct().join(named, ["n", "k1", "k2"], "left").select(F.col("id").alias("doc_id"), "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), keep=True)
     out = keyed.select("doc_id", "h").join(rows, ["doc_id", "h"], "left")
     return out.select(F.col("doc_id").alias(id_column), "h", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "component_id")
 
