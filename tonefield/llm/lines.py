@@ -38,30 +38,32 @@ def line_ids(lines: list[tuple[int, bytes]]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for _, x in lines), np.uint64).reshape(-1, 2)
 
 
+def _all_ids(docs) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all documents' lines in order, and how many each document has."""
+    lines = [lines_of(t) for t in docs.texts]
+    return line_ids([x for own in lines for x in own]), np.array([len(x) for x in lines], np.int64)
+
+
 def _values(docs):
-    return np.unique(np.concatenate([line_ids(lines_of(t))[:, 0] for t in docs.texts] + [np.zeros(0, np.uint64)]), return_counts=True)
+    return np.unique(_all_ids(docs)[0][:, 0], return_counts=True)
 
 
 def _places(chunk, docs, answers):
     """A row for each line that may occur again. left: how many such lines stand together from here on."""
     import pandas as pd
 
-    levels = exchange.levels_of(answers)
-    known = _values(docs)[0]
-    out = []
-    for d, (i, h, text) in enumerate(zip(docs.ids.tolist(), docs.hashes.tolist(), docs.texts, strict=True)):
-        ids = line_ids(lines_of(text))
-        if not len(ids):
-            continue
-        again = levels[np.searchsorted(known, ids[:, 0])] > 0
-        if not again.any():
-            continue
-        at = np.arange(len(ids))
-        stop = np.minimum.accumulate(np.where(again, len(ids), at)[::-1])[::-1]
-        k = np.flatnonzero(again)
-        out.append(pd.DataFrame({"chunk": chunk, "d": d, "doc_id": i, "h": h, "line": k, "v1": ids[k, 0].view(np.int64), "v2": ids[k, 1].view(np.int64), "left": stop[k] - k}))
-    if out:
-        yield pd.concat(out)
+    ids, counts = _all_ids(docs)
+    if not len(ids):
+        return
+    _, which = np.unique(ids[:, 0], return_inverse=True)
+    again = exchange.levels_of(answers)[which] > 0
+    n, ends = len(ids), np.cumsum(counts)
+    d = np.repeat(np.arange(len(counts)), counts)
+    other = np.minimum.accumulate(np.where(again, n, np.arange(n))[::-1])[::-1]
+    left = np.minimum(other, ends[d]) - np.arange(n)
+    k = np.flatnonzero(again)
+    d = d[k]
+    yield pd.DataFrame({"chunk": chunk, "d": d, "doc_id": docs.ids[d], "h": docs.hashes[d], "line": k - (ends - counts)[d], "v1": ids[k, 0].view(np.int64), "v2": ids[k, 1].view(np.int64), "left": left[k]})
 
 
 PLACES = "chunk string, d int, doc_id long, h long, line long, v1 long, v2 long, left long"
@@ -165,6 +167,9 @@ def _finished(min_words: int):
         rows = []
         for d, (i, h, text) in enumerate(zip(docs.ids.tolist(), docs.hashes.tolist(), docs.texts, strict=True)):
             own = lines_of(text)
+            if d not in runs:
+                rows.append((i, h, len(own), 0, 0, text.decode("utf-8", "surrogatepass")))
+                continue
             words = np.cumsum([0] + [len(x.split()) for _, x in own])
             gone = np.zeros(len(own) + 1, np.int64)
             for start, n in set(runs.get(d, ())):
@@ -186,15 +191,17 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id"
     """(id, h, n_lines, n_removed, n_runs, text: what is kept), a row for each row of docs."""
     lowest = -(2**63)
     keyed = common.with_key(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
-    table = exchange.chunks(keyed.withColumns({"doc_id": F.coalesce("doc_id", F.lit(lowest)), "text": F.coalesce("text", F.lit(""))}))
-    places = exchange.answered(table, exchange.count(table, _values), _places, PLACES)
-    ordered = in_order(places)
-    levels = doubled(ordered)
-    answers = docs.sparkSession.createDataFrame([], "chunk string, part int, data binary")
-    if levels:
-        found = ordered.join(longest(levels), "pos").select("doc_id", "h", "line", "off")
-        answers = places.join(found, ["doc_id", "h", "line"]).select("chunk", "d", "line", "off").mapInPandas(_blobs, "chunk string, part int, data binary")
-    out = exchange.answered(table, answers, _finished(min_words), RESULT)
+    with common.scratch(docs.sparkSession):
+        table = exchange.chunks(keyed.withColumns({"doc_id": F.coalesce("doc_id", F.lit(lowest)), "text": F.coalesce("text", F.lit(""))}))
+        places = exchange.answered(table, exchange.count(table, _values), _places, PLACES)
+        ordered = in_order(places)
+        levels = doubled(ordered)
+        answers = docs.sparkSession.createDataFrame([], "chunk string, part int, data binary")
+        if levels:
+            found = ordered.join(longest(levels), "pos").select("doc_id", "h", "line", "off")
+            runs = places.join(found, ["doc_id", "h", "line"]).select("chunk", "d", "line", "off").repartition("chunk").sortWithinPartitions("chunk")
+            answers = common.materialize(runs.mapInPandas(_blobs, "chunk string, part int, data binary"))
+        out = exchange.answered(table, answers, _finished(min_words), RESULT, keep=True)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id"))).withColumnRenamed("doc_id", id_column)
 
 
