@@ -4,7 +4,7 @@ Every language has probabilities over the pieces of a fixed public vocabulary. A
 over all its segmentations into pieces, found by the forward algorithm; a text's is the product over its words
 (letter runs, lower-cased). Piece probabilities come from expectation maximisation over the same lattices.
 
-The fit reads a bounded sample of labelled rows (`train_docs` a language, those with the smallest hashes of their id);
+The fit reads a bounded sample of labelled rows (`train_docs` a language, by hashes of their ids);
 prediction reads whole texts and nothing but the text. Words are scored once a worker and remembered.
 
 Null texts and texts without a letter: `und`, score 0. Empty training data: every text is `und`. Repeated rows keep a row each.
@@ -18,7 +18,6 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -31,7 +30,9 @@ LONGEST_WORD = 200
 #: Per character, so that products of probabilities stay near 1.
 LIFT = 20.0
 UNKNOWN = 1e-9
-MEMORY = 400_000
+MEMORY = 300_000
+#: Places times languages that are worked on at once.
+GROUP = 200_000
 
 
 @dataclass
@@ -100,7 +101,7 @@ def log_scores(words: list[str], model: Model) -> np.ndarray:
     k = 0
     while k < len(order):
         n = 1
-        while k + n < len(order) and (n + 1) * (len(words[order[k + n]]) + 2) * out.shape[1] <= 2_000_000:
+        while k + n < len(order) and (n + 1) * (len(words[order[k + n]]) + 2) * out.shape[1] <= GROUP:
             n += 1
         group = [words[i] for i in order[k : k + n]]
         arcs = lattice(group, pieces, longest)
@@ -122,7 +123,7 @@ def fit_counts(words: list[str], counts: np.ndarray, languages: list[str], vocab
     groups, k = [], 0
     while k < len(order):
         m = 1
-        while k + m < len(order) and (m + 1) * (len(words[order[k + m]]) + 2) * nl <= 2_000_000:
+        while k + m < len(order) and (m + 1) * (len(words[order[k + m]]) + 2) * nl <= GROUP:
             m += 1
         group = [words[i] for i in order[k : k + m]]
         groups.append((group, counts[order[k : k + m]], lattice(group, pieces, longest)))
@@ -160,11 +161,15 @@ def held_out(id_column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", vocabulary: str = "piece_bpe_32k.model", train_docs: int = 400) -> Model:
-    """Reads `train_docs` labelled rows a language at most, chosen by hash of their id; held-out rows never."""
+    """Reads about `train_docs` labelled rows a language (all, if there are fewer): those whose id's hash falls below the share that
+    gives that number; held-out rows never."""
     rows = docs.select(F.col(id_column).alias("i"), F.col(text_column).alias("t"), F.col(lang_column).alias("l"), held_out(id_column).alias("out"))
     rows = rows.where("l IS NOT NULL AND t IS NOT NULL AND i IS NOT NULL AND NOT out")
-    first = W.partitionBy("l").orderBy(F.xxhash64("i"), "i")
-    chosen = rows.select("i", "l").withColumn("n", F.row_number().over(first)).where(F.col("n") <= train_docs).select("i", "l").distinct()
+    rates = {r["l"]: min(1.0, train_docs / r["n"]) for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language, as the model has
+    if not rates:
+        return fit_counts([], np.zeros((0, 0)), [], vocabulary)
+    rate = F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[F.col("l")]
+    chosen = rows.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < rate * float(1 << 30))
 
     def count(batches):
         from collections import Counter, defaultdict
@@ -177,7 +182,7 @@ def fit(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", l
                 seen[lang].update(words_of(text))
         yield pd.DataFrame([(lang, w, n) for lang, c in seen.items() for w, n in c.items()], columns=["l", "w", "n"])
 
-    counted = rows.join(chosen, ["i", "l"], "left_semi").select("t", "l").mapInPandas(count, "l string, w string, n long")
+    counted = chosen.select("t", "l").mapInPandas(count, "l string, w string, n long")
     pdf = counted.groupBy("l", "w").agg(F.sum("n").alias("n")).toPandas()  # bounded by train_docs
     languages, words = sorted(pdf["l"].unique()), sorted(pdf["w"].unique())
     counts = np.zeros((len(words), len(languages)))
