@@ -2,7 +2,8 @@ import pytest
 from oracle import same
 
 import tonefield.plans.candidate_queries
-import tonefield.plans.pipeline_queries  # noqa: F401
+import tonefield.plans.pipeline_queries
+import tonefield.plans.rule_queries  # noqa: F401
 from tonefield.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
