@@ -89,3 +89,54 @@ def features(rows: DataFrame, column: str = "sentence") -> DataFrame:
         "f_first": flag(F.col("start") == 0),
         "f_determiner": flag(F.lower(c).rlike("^(the|a|an) ")),
     })
+
+
+def parsed_candidates(parse) -> list[tuple[str, int, int, str]]:
+    """Candidates that need a parse (text, start, end, source): entities, noun chunks, proper names inside chunks, coordinated words with their head,
+    appositive expansions. The first source of a span wins."""
+    tokens, sentence = parse.tokens, parse.sentence
+    end = lambda t: t.start + len(t.text)
+    out: dict[tuple[int, int], tuple[str, int, int, str]] = {}
+
+    def add(a: int, b: int, source: str) -> None:
+        if 0 <= a < b:
+            out.setdefault((a, b), (sentence[a:b], a, b, source))
+
+    for e in parse.entities:
+        add(e.start, e.end, "NER")
+    for c in parse.chunks:
+        add(c.start, c.end, "NOUN_CHUNK")
+    for c in parse.chunks:
+        inside = [t for t in tokens if c.start <= t.start < c.end]
+        for t in inside:
+            if t.pos in ("PROPN", "PRON"):
+                add(t.start, end(t), "SUBSPAN_TOKEN")
+        run: list = []
+        for t in [*inside, None]:
+            if t is not None and t.pos == "PROPN" and (not run or run[-1].i + 1 == t.i):
+                run.append(t)
+                continue
+            if len(run) > 1:
+                add(run[0].start, end(run[-1]), "SUBSPAN_PROPER_NAME")
+            run = [t] if t is not None and t.pos == "PROPN" else []
+    for t in tokens:
+        head = tokens[t.head]
+        if t.dep == "conj" and {t.pos, head.pos} <= {"PROPN", "NOUN", "PRON"}:
+            a, b = sorted((t, head), key=lambda x: x.i)
+            if any(x.text.lower() in ("and", "or") for x in tokens[a.i + 1 : b.i]):
+                add(a.start, end(b), "COORDINATION")
+    for e in parse.entities:
+        if e.label != "PERSON":
+            continue
+        after = [t for t in tokens if t.start >= e.end][:APPOSITIVE_REACH]
+        comma = next((t for t in after if t.text in ",.!?"), None)
+        if comma is None or comma.text != ",":
+            continue
+        close = next((t for t in tokens[comma.i + 1 : comma.i + 1 + APPOSITIVE_REACH] if t.text in ",.!?"), None)
+        if close is not None and close.i > comma.i + 1:
+            add(e.start, end(tokens[close.i - 1]), "APPOSITIVE_EXPANSION")
+    return list(out.values())
+
+
+#: Words between a name, its comma and the end of the appositive, at most.
+APPOSITIVE_REACH = 15

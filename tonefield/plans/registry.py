@@ -378,3 +378,34 @@ def near_duplicates(spark, sf_dir):
 def seen_url_anti(spark, sf_dir):
     pages = A.table(spark, sf_dir, "pages").select("page_id", "url")
     return pages.join(pages.where("page_id % 3 = 0").select("url"), "url", "left_anti").select("page_id", "url")
+
+
+@query(f"WITH {A.MENTIONS} SELECT len({_WORDS('target_text')})::INTEGER AS words, count(*) AS n FROM mentions GROUP BY 1")
+def target_word_histogram(spark, sf_dir):
+    return A.mentions(spark, sf_dir).groupBy(T.word_count("target_text").alias("words")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {A.SENTENCES} SELECT DISTINCT sentence, length(sentence)::INTEGER AS n FROM sentences ORDER BY n DESC, sentence LIMIT 20")
+def longest_sentences(spark, sf_dir):
+    rows = A.sentences(spark, sf_dir).select("sentence", F.length("sentence").alias("n")).distinct()
+    return rows.orderBy(F.desc("n"), "sentence").limit(20)
+
+
+@query("WITH x AS (SELECT d.doc_id, d.text, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT a.text, max(a.quality) AS quality_a, max(b.quality) AS quality_b, max(a.quality) = max(b.quality) AS agrees FROM x a JOIN x b ON a.text = b.text WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY a.text")
+def overlap_label_agreement(spark, sf_dir):
+    """Texts in both halves, and whether their labels agree; each half is reduced to a row a text before they meet."""
+    rows = A.table(spark, sf_dir, "documents").select("doc_id", "text").join(A.table(spark, sf_dir, "labels"), "doc_id", "left")
+    half = lambda k, name: rows.where(F.col("doc_id") % 2 == k).groupBy("text").agg(F.max("quality").alias(name))
+    return half(0, "quality_a").join(half(1, "quality_b"), "text").withColumn("agrees", F.col("quality_a") == F.col("quality_b"))
+
+
+@query(f"WITH {A.GOLD} SELECT lang, count(*) AS n, sum((gold = predicted)::BIGINT)::BIGINT AS correct, round(sum((gold = predicted)::BIGINT)::DOUBLE / count(*), 6) AS accuracy FROM gold GROUP BY 1")
+def accuracy_by_language(spark, sf_dir):
+    return EV.accuracy(A.gold(spark, sf_dir), "lang")
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE regexp_matches(text, ' ([,.;!?]|''s)') OR contains(text, '  ')")
+def spacing_artifacts(spark, sf_dir):
+    """Data quality: blanks before punctuation or a possessive, and double blanks."""
+    bad = F.col("text").rlike(" ([,.;!?]|'s)") | F.contains("text", F.lit("  "))
+    return A.table(spark, sf_dir, "conversations").where(bad).select("conv_id", "turn", "text")
