@@ -66,7 +66,7 @@ def close_pairs(a: Coded, b: Coded, threshold: float, block: int = 512):
         for m in range(0, len(i), 1_000_000):
             x, y = i[m : m + 1_000_000] + k, j[m : m + 1_000_000]
             exact = np.einsum("nd,nd->n", a.unit[x], b.unit[y])
-            hit = exact >= threshold - 1e-15
+            hit = exact >= threshold
             yield x[hit], y[hit]
 
 
