@@ -137,10 +137,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         both = now.select("a", "b").unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # minima are written first, so that both sides of the joins below are plain exchanges, which can be split where a node is hot
+        low = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialize(large)
+        small_low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = (
             large.join(small_low, "a")
             .select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
