@@ -225,22 +225,29 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
 
     own = uuid.uuid4().hex
     names = keep if keep is not None else [id_column]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept"), F.col(text_column).alias("t"), held_out(id_column).alias("held_out"))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in names}
+    kept = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(names)]
+    text = f"kept_{names.index(text_column)}" if text_column in names else "t"  # the text travels once
+    rows = docs.select(*kept, *([] if text_column in names else [F.col(f"`{text_column}`").alias("t")]), held_out(id_column).alias("held_out"))
+    made = "held_out boolean, lang_pred string, score double" if keep is None else "lang_pred string, score double"
 
     def run(batches):
         import pandas as pd
 
-        score = _scorers.setdefault(own, Scorer(model))
-        for pdf in batches:
-            out = pd.DataFrame(score(pdf["t"]), columns=["lang_pred", "score"])
-            out.insert(0, "held_out", pdf["held_out"].to_numpy())
-            for c in reversed(names):
-                out.insert(0, c, pdf[f"kept_{names.index(c)}"].array)
-            yield out if keep is None else out.drop(columns="held_out")
-
-    flat = rows.select(*[F.col("kept").getField(c).alias(f"kept_{k}") for k, c in enumerate(names)], "t", "held_out")
-    return flat.mapInPandas(run, f"{schema}, held_out boolean, lang_pred string, score double" if keep is None else f"{schema}, lang_pred string, score double")
+        if own not in _scorers:
+            _scorers.clear()  # of an earlier model
+            _scorers[own] = Scorer(model)
+        score = _scorers[own]
+        for whole in batches:
+            for k in range(0, len(whole), 500):
+                pdf = whole.iloc[k : k + 500]
+                out = {c: pdf[f"kept_{j}"].array for j, c in enumerate(names)}
+                if keep is None:
+                    out["held_out"] = pdf["held_out"].array
+                found = score(pdf[text])
+                yield pd.DataFrame(out | {"lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
+
+    return rows.mapInPandas(common.trimmed(run), ", ".join([*(f"`{c}` {t}" for c, t in kinds.items()), made]))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
