@@ -53,12 +53,24 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
+_before: list[str] = []
+
+
+def _stage(function):
+    """The stage, which first deletes the working tables behind the stage before it: its rows are written by now."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.release(_before, docs)
+        mark = common.kept()
+        out = function(spark, docs, sf_dir)
+        _before[:] = common.kept_since(mark)
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("language", language),
-    ("repeated_lines", repeated_lines),
-    ("near_copies", near_copies),
-    ("repeated_passages", repeated_passages),
-    ("packed", packed),
+    (f.__name__, _stage(f)) for f in (language, repeated_lines, near_copies, repeated_passages, packed)
 ]
 
 #: SQL expresses neither the models nor the components; tests hold each stage against brute force.

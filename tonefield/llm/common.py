@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _scratch: list[list[str]] = []
+#: Tables that results of this session still read.
+_kept: list[str] = []
 
 
 def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -30,7 +32,9 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table"
     df.write.parquet(path)
-    if _scratch and not keep:
+    if keep:
+        _kept.append(path)
+    elif _scratch:
         _scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,8 +47,27 @@ def scratch(spark: SparkSession):
         yield
     finally:
         for path in _scratch.pop():
-            p = spark._jvm.org.apache.hadoop.fs.Path(path.removesuffix("/table"))
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path.removesuffix("/table"))
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def kept_since(mark: int) -> list[str]:
+    return _kept[mark:]
+
+
+def kept() -> int:
+    return len(_kept)
+
+
+def release(paths: list[str], docs: DataFrame) -> None:
+    """Deletes tables whose results have been written elsewhere, unless docs still reads one of them."""
+    if paths and not any(f"/{path.split('/')[-2]}/" in f for f in docs.inputFiles() for path in paths):
+        for path in paths:
+            _delete(docs.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
