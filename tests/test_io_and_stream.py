@@ -123,3 +123,11 @@ def test_tfidf_classifier(spark):
     df = spark.createDataFrame([("good gains here", 1.0), ("bad losses here", 0.0)] * 10, "t string, y double")
     model = ranker.tfidf_classifier(df, "t", "y", c=10.0)
     assert model.transform(df).where("prediction <> y").count() == 0
+
+
+def test_model_scorer_loads_once_a_task(spark):
+    from tonefield.operators.sentiment import model_scorer
+
+    rows = spark.createDataFrame([("a [TARGET] b [/TARGET]",)], "marked string")
+    got = model_scorer(lambda: lambda texts: [(0.1, 0.2, 0.7)] * len(texts))(rows).first()
+    assert (got["Negative"], got["Neutral"], got["Positive"]) == (0.1, 0.2, 0.7)
