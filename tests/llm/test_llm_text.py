@@ -257,7 +257,7 @@ def test_join_odd_rows(spark, corpus):
     assert next(r for r in got if r["doc_id"] is None)["component_id"] is None
     assert ngram_join.join(docs(spark, [])).count() == 0
     rows = [tuple(r) for r in corpus.select("doc_id", "text").collect()]
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(corpus).collect()} == brute_join(rows, 4, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(corpus).collect()} == brute_join(rows, 5, 80)
 
 
 def test_words_of_long_texts_do_not_depend_on_the_cut(monkeypatch):

@@ -192,7 +192,7 @@ def _verify(percent: int):
     return run
 
 
-def join(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", tile: int = TILE) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", tile: int = TILE) -> DataFrame:
     """(id, n_shingles, component_id), a row for each row of docs."""
     spark = docs.sparkSession
     keyed = common.with_key(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
@@ -230,4 +230,4 @@ def join(docs: DataFrame, words: int = 4, percent: int = 85, id_column: str = "d
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents")).drop("h")
+    return join(common.table(spark, sf_dir, "documents"), words=4, percent=85).drop("h")
