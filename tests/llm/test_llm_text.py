@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -211,6 +212,17 @@ def test_lines_odd_rows(spark):
     assert lines.dedup(docs(spark, [])).count() == 0
 
 
+def test_short_repeated_lines_go_by_default(spark, tmp_path):
+    rows = [(1, "one two\nfirst own line"), (2, "one two\nsecond own line\nx"), (3, "x\nthird own line\none two\nsecond own line")]
+    want = brute_lines(rows, 0)
+    assert [r[2] for r in want] == [0, 1, 3]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, lines.op3_line_dedup(spark, str(tmp_path)).select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()))
+    assert got == [(i, n, lost, hashlib.sha256(text.encode()).hexdigest()) for i, n, lost, text in want]
+    left = corpus_pipeline.repeated_lines(spark, docs(spark, rows), SF).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in left) == [(r[0], r[3]) for r in want]
+
+
 # n-gram join
 
 
