@@ -131,3 +131,34 @@ def test_model_scorer_loads_once_a_task(spark):
     rows = spark.createDataFrame([("a [TARGET] b [/TARGET]",)], "marked string")
     got = model_scorer(lambda: lambda texts: [(0.1, 0.2, 0.7)] * len(texts))(rows).first()
     assert (got["Negative"], got["Neutral"], got["Positive"]) == (0.1, 0.2, 0.7)
+
+
+def test_near_duplicates_documents_equals_brute_force(spark, tmp_path):
+    import math
+    import re
+    from collections import Counter
+
+    from tonefield.plans.registry import QUERIES
+
+    bench = {1: "the river runs past the old mill", 2: "a short note on tax law", 3: "wheat prices rose again in spring"}
+    found = {k: f"own words {k} come first and then {bench[1 + k % 3]} and w{k} follows" for k in range(24)} | {50: bench[2], 51: "nothing shared here", 52: None}
+    spark.createDataFrame(list(bench.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(found.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    terms = lambda t: Counter(x for x in re.split("[^a-z0-9_à-öø-ÿ]+", (t or "").lower()) if len(x) >= 2)
+    df = Counter(x for t in bench.values() for x in terms(t))
+
+    def weights(t):
+        w = {x: n * (math.log((1 + len(bench)) / (1 + df[x])) + 1) for x, n in terms(t).items()}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {x: v / norm for x, v in w.items()}
+
+    own = {i: weights(t) for i, t in bench.items()}
+    want = []
+    for q, t in found.items():
+        mine = weights(t)
+        scores = [(-round(sum(v * other.get(x, 0) for x, v in mine.items()), 6), i) for i, other in own.items() if mine.keys() & other.keys()]
+        want += [(q, i, -s) for s, i in sorted(scores)[:1]]
+    want = sorted(want, key=lambda r: (-r[2], r[0]))[:20]
+    got = [(r["query"], r["id"], r["similarity"]) for r in QUERIES["near_duplicates_documents"](spark, str(tmp_path)).collect()]
+    assert want[0] == (50, 2, 1.0) and [r[:2] for r in got] == [r[:2] for r in want]
+    assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))

@@ -374,6 +374,13 @@ def near_duplicates(spark, sf_dir):
     turns = A.table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
     return L.nearest(turns, bench, "id", "text")
 
+@query()
+def near_duplicates_documents(spark, sf_dir):
+    """All documents against the benchmark: where its passages leak. No SQL: a test holds it against brute force."""
+    bench = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    documents = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return L.nearest(documents, bench, "id", "text")
+
 @query("SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM (SELECT url AS u FROM pages WHERE page_id % 3 = 0) s WHERE s.u = p.url)")
 def seen_url_anti(spark, sf_dir):
     pages = A.table(spark, sf_dir, "pages").select("page_id", "url")
