@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tonefield import api
-from tonefield.operators import leakage, ranker, sampling
+from tonefield.operators import candidates, leakage, ranker, sampling
 from tonefield.operators.sentiment import predict
 from tonefield.sources import feeds, readers, sinks
 from tonefield.streaming import ingest
@@ -162,3 +162,40 @@ def test_near_duplicates_documents_equals_brute_force(spark, tmp_path):
     got = [(r["query"], r["id"], r["similarity"]) for r in QUERIES["near_duplicates_documents"](spark, str(tmp_path)).collect()]
     assert want[0] == (50, 2, 1.0) and [r[:2] for r in got] == [r[:2] for r in want]
     assert all(abs(a[2] - b[2]) < 2e-6 for a, b in zip(got, want, strict=True))
+
+
+def _plain_features(sentence, c, start, end, source, ner):
+    """C12 in Python, by the names of features()."""
+    n, low, w = max(len(sentence), 1), c.lower(), c.split()
+    before, after = sentence[start - 1 : start] if start > 0 else "", sentence[end : end + 1]
+    out = {"start": start, "end": end, "relative_start": start / n, "relative_end": end / n, "relative_length": len(c) / n, "length": len(c), "words": len(w), "length_squared": len(c) ** 2, "words_squared": len(w) ** 2}
+    out |= {f"is_{k.lower()}": source == k for k in ("NER", "NOUN_CHUNK", "PRONOUN", "SUBSPAN_TOKEN", "SUBSPAN_PROPER_NAME", "COORDINATION", "APPOSITIVE_EXPANSION", "TITLE_EXPANSION")}
+    out |= {f"is_{k.lower()}": ner == k for k in candidates.NER_FLAGS} | {f"starts_with_{k}": low.startswith(k + " ") for k in ("the", "a", "an")}
+    out |= {"is_subspan": source.startswith("SUBSPAN"), "is_normalized": "NORMALIZED" in source, "single_word": len(w) == 1, "two_words": len(w) == 2, "three_words": len(w) == 3, "multi_word": len(w) > 1, "long": len(w) >= 4, "very_long": len(w) >= 8}
+    out |= {"starts_with_title": bool(w) and low.split()[0] in candidates.TITLES, "hyphen": "-" in c, "apostrophe": "'" in c or "’" in c, "starts_with_quote": c.startswith(('"', "'", "“", "‘")), "ends_with_quote": c.endswith(('"', "'", "”", "’"))}
+    out |= {"starts_with_dash": c.startswith(("-", "–", "—")), "edge_punctuation": c != "" and not (c[0].isalnum() and c[-1].isalnum()), "first_word_capitalised": bool(w) and w[0][0].isupper(), "contains_upper": any(x.isupper() for x in c)}
+    out |= {"all_upper": c.isupper(), "all_lower": c.islower(), "title_case": c.istitle(), "at_start": start <= 2, "near_start": start <= 20, "at_end": end >= n - 2, "near_end": end >= n - 20}
+    out |= {"preceded_by_space": before.isspace(), "followed_by_space": after.isspace(), "preceded_by_quote": before != "" and before in "\"'“‘", "followed_by_quote": after != "" and after in "\"'”’", "preceded_by_dash": before != "" and before in "-–—", "followed_by_dash": after != "" and after in "-–—"}
+    return {f"f_{k}": float(v) for k, v in out.items()}
+
+
+def test_features_are_all_of_c12(spark):
+    text = "“President O'Neil” met U.S.-Iran envoys of the World Bank — an IBM-led group, said Mr. Élan Vital of a very long list of many odd names 12"
+    found = [("President O'Neil", "NER", "PERSON"), ("U.S.-Iran", "SUBSPAN_TOKEN", None), ("the World Bank", "NOUN_CHUNK_NORMALIZED", "ORG"), ("an IBM", "TITLE_EXPANSION", None), ("Mr. Élan Vital", "SUBSPAN_PROPER_NAME", "LAW")]
+    found += [("“President O'Neil”", "PRONOUN", "GPE"), ("— an IBM-led group", "COORDINATION", None), ("a very long list of many odd names 12", "APPOSITIVE_EXPANSION", "DATE"), ("envoys", "NOUN_CHUNK", None), ("12", "NER", "CARDINAL"), ("IBM", "NER", "ORG")]
+    rows = [(text, c, text.index(c), text.index(c) + len(c), source, ner) for c, source, ner in found]
+    df = candidates.features(spark.createDataFrame(rows, "sentence string, candidate string, start int, stop int, source string, ner_label string"))
+    for r in df.collect():
+        want = _plain_features(r["sentence"], r["candidate"], r["start"], r["stop"], r["source"], r["ner_label"])
+        assert len(want) == 63 and {k: round(r[k], 9) for k in want} == {k: round(v, 9) for k, v in want.items()}
+    assert {r["ner_label"] for r in df.collect()} >= {"NONE", "PERSON"}
+
+
+def test_ranker_report_and_sweep(spark):
+    rows = [("Acme fell on bad news", c, s, src, lab) for _ in range(10) for c, s, src, lab in (("Acme", 0, "NER", 1), ("bad news", 13, "NOUN_CHUNK", 0))]
+    df = spark.createDataFrame(rows, "sentence string, candidate string, start int, source string, label int")
+    table, auc = ranker.report(ranker.train(df), df)
+    assert auc == 1.0 and {(r["label"], r["f1"], r["support"]) for r in table.collect()} == {(0, 1.0, 10), (1, 1.0, 10)}
+    texts = spark.createDataFrame([("good gains here", 1.0), ("bad losses here", 0.0)] * 10, "t string, y double")
+    _, c, tried = ranker.tfidf_sweep(texts, texts, "t", "y", (0.5, 10.0))
+    assert [x for x, _ in tried] == [0.5, 10.0] and dict(tried)[c] == max(f for _, f in tried) == 1.0

@@ -71,23 +71,79 @@ def signal_stats(rows: DataFrame, by: Column | str, column: str = "sentence") ->
     )
 
 
+#: C12's named entity flags, by label.
+NER_FLAGS = ("PERSON", "ORG", "GPE", "NORP", "DATE", "TIME", "CARDINAL", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LOC", "FAC")
+TITLES = (
+    "mr", "mr.", "mrs", "mrs.", "ms", "ms.", "dr", "dr.", "president", "senator", "sen.", "governor", "gov.", "rep", "rep.", "judge", "general", "gen", "mayor", "minister",
+    "prime", "professor", "prof.", "chief", "captain", "col", "colonel",
+)
+_QUOTES, _DASHES = ("\"", "'", "\u201c", "\u2018"), ("-", "\u2013", "\u2014")
+_CLOSING = ("\"", "'", "\u201d", "\u2019")
+
+
 def features(rows: DataFrame, column: str = "sentence") -> DataFrame:
-    """The one feature function that training and scoring share: numbers as columns f_*, categories as source."""
-    c = F.col("candidate")
-    flag = lambda x: x.cast("double")
+    """The one feature function that training and scoring share: numbers as columns f_*, categories as source and ner_label (NONE where rows have
+    none). The end is stop, or start and the candidate's length."""
+    c, s, source, start = F.col("candidate"), F.col(column), F.col("source"), F.col("start")
+    ner = F.coalesce(F.col("ner_label"), F.lit("NONE")) if "ner_label" in rows.columns else F.lit("NONE")
+    end = F.col("stop") if "stop" in rows.columns else start + F.length(c)
+    size, low, n = F.greatest(F.length(s), F.lit(1)), F.lower(c), T.word_count(c)
+    number = lambda x: x.cast("double")
+    flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
+    before, after = F.when(start > 0, F.substring(s, start, F.lit(1))), F.when(end < F.length(s), F.substring(s, end + 1, F.lit(1)))
+    upper, lower, other = r"[\p{Lu}\p{Lt}]", r"\p{Ll}", r"[^\p{Lu}\p{Lt}\p{Ll}]"
     return rows.withColumns({
-        "f_start": F.col("start").cast("double"),
-        "f_relative_start": F.col("start") / F.greatest(F.length(column), F.lit(1)),
-        "f_length": F.length(c).cast("double"),
-        "f_words": T.word_count(c).cast("double"),
+        "ner_label": ner,
+        "f_start": number(start),
+        "f_relative_start": start / size,
+        "f_length": number(F.length(c)),
+        "f_words": number(n),
         "f_capitalised": flag(T.capitalised(c)),
         "f_upper": flag((c == F.upper(c)) & (c != F.lower(c))),
-        "f_pronoun": flag(F.lower(c).isin(*V.RANKER_PRONOUNS)),
-        "f_common": flag(F.arrays_overlap(T.words(F.lower(c)), F.array(*map(F.lit, V.COMMON_TARGET_WORDS)))),
-        "f_possessive": flag(F.lower(c).endswith("'s")),
+        "f_pronoun": flag(low.isin(*V.RANKER_PRONOUNS)),
+        "f_common": flag(F.arrays_overlap(T.words(low), F.array(*map(F.lit, V.COMMON_TARGET_WORDS)))),
+        "f_possessive": flag(low.endswith("'s")),
         "f_digit": flag(c.rlike("[0-9]")),
-        "f_first": flag(F.col("start") == 0),
-        "f_determiner": flag(F.lower(c).rlike("^(the|a|an) ")),
+        "f_first": flag(start == 0),
+        "f_determiner": flag(low.rlike("^(the|a|an) ")),
+        "f_length_squared": number(F.length(c) * F.length(c)),
+        "f_words_squared": number(n * n),
+        "f_end": number(end),
+        "f_relative_end": end / size,
+        "f_relative_length": F.length(c) / size,
+        **{f"f_is_{k.lower()}": flag(source == k) for k in ("NER", "NOUN_CHUNK", "PRONOUN", "SUBSPAN_TOKEN", "SUBSPAN_PROPER_NAME", "COORDINATION", "APPOSITIVE_EXPANSION", "TITLE_EXPANSION")},
+        "f_is_subspan": flag(source.startswith("SUBSPAN")),
+        "f_is_normalized": flag(source.contains("NORMALIZED")),
+        **{f"f_is_{k.lower()}": flag(ner == k) for k in NER_FLAGS},
+        "f_single_word": flag(n == 1),
+        "f_two_words": flag(n == 2),
+        "f_three_words": flag(n == 3),
+        "f_multi_word": flag(n > 1),
+        "f_long": flag(n >= 4),
+        "f_very_long": flag(n >= 8),
+        **{f"f_starts_with_{k}": flag(low.startswith(f"{k} ")) for k in ("the", "a", "an")},
+        "f_starts_with_title": flag(F.get(T.words(low), 0).isin(*TITLES)),
+        "f_hyphen": flag(c.contains("-")),
+        "f_apostrophe": flag(c.rlike("['\u2019]")),
+        "f_starts_with_quote": flag(F.substring(c, 1, 1).isin(*_QUOTES)),
+        "f_ends_with_quote": flag(F.substring(c, -1, 1).isin(*_CLOSING)),
+        "f_starts_with_dash": flag(F.substring(c, 1, 1).isin(*_DASHES)),
+        "f_edge_punctuation": flag((c != "") & ~(c.rlike(r"^[\p{L}\p{N}]") & c.rlike(r"[\p{L}\p{N}]\z"))),
+        "f_first_word_capitalised": flag(c.rlike(r"(?U)^\s*\p{Lu}")),
+        "f_contains_upper": flag(c.rlike(r"\p{Lu}")),
+        "f_all_upper": flag(c.rlike(r"\p{Lu}") & ~c.rlike(r"[\p{Ll}\p{Lt}]")),
+        "f_all_lower": flag(c.rlike(lower) & ~c.rlike(upper)),
+        "f_title_case": flag(c.rlike(f"^{other}*{upper}{lower}*(?:{other}+{upper}{lower}*)*{other}*\\z")),
+        "f_at_start": flag(start <= 2),
+        "f_near_start": flag(start <= 20),
+        "f_at_end": flag(end >= size - 2),
+        "f_near_end": flag(end >= size - 20),
+        "f_preceded_by_space": flag(before.rlike(r"(?U)^\s")),
+        "f_followed_by_space": flag(after.rlike(r"(?U)^\s")),
+        "f_preceded_by_quote": flag(before.isin(*_QUOTES)),
+        "f_followed_by_quote": flag(after.isin(*_CLOSING)),
+        "f_preceded_by_dash": flag(before.isin(*_DASHES)),
+        "f_followed_by_dash": flag(after.isin(*_DASHES)),
     })
 
 
