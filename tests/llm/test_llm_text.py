@@ -78,6 +78,34 @@ def test_fast_ids_equal_the_tokenizers_library(corpus):
         assert encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_ids_of_very_long_runs():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    encode = packing._encoder(P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"))
+    n, rng = 2_000_000, random.Random(1)
+    texts = [" " * n + "x", "a" * n, "-" * n, "".join(rng.choices(" \n\t\r", k=n)) + "x y", " " * 300_000 + "<|endoftext|> " + "b" * 300_000 + " x y", "alpha  beta gamma\n" * 60_000]
+    for text in texts:
+        assert encode(text) == np.asarray(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_blocks_join_to_the_text():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choices("ab \n", k=rng.randint(0, 60)))
+        parts = tokens.blocks(text, 7)
+        assert "".join(parts) == text
+        assert all(p[0] == " " and not p[1].isspace() and not q[-1].isspace() for q, p in itertools.pairwise(parts))
+
+
+def test_packing_long_and_clashing(spark):
+    rows = [(1, " " * 600_000 + "x", 0, 0), (1, " " * 600_000 + "x", 1, 1), (None, "a b", 2, 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, piece long, sequence_id long")
+    got = packing.pack(d).collect()
+    assert sum(r["length"] for r in got if r["doc_id"] == 1) == 2 * sum(r["length"] for r in packing.pack(d.limit(1)).collect())
+    assert [r["length"] for r in got if r["doc_id"] is None] == [3]
+
+
 @pytest.mark.parametrize("n, want", [(1, [(0, 1)]), (1024, [(0, 1024)]), (1025, [(0, 1), (1, 1024)]), (2048, [(0, 1024), (1024, 1024)]), (2050, [(0, 2), (2, 1024), (1026, 1024)])])
 def test_cut(n, want):
     assert packing.cut(n) == want

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import threading
 import uuid
 
 import numpy as np
@@ -11,19 +12,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
+    """A new folder below spark.checkpoint.dir, which driver and executors share. It is deleted when the application ends, if not before.
 
-    Only where that setting is missing (tests, one machine) a folder below /tmp is taken.
+    Where that setting is missing, a folder below /tmp is taken on one machine (a local master); on a cluster that is an error.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file:///tmp/tonefield-work"
-    return f"{base.rstrip('/')}/tonefield-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tonefield-{uuid.uuid4().hex}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(there)
+    files.deleteOnExit(there)
+    return path
 
 
-_scratch: list[list[str]] = []
-#: Tables that results of this session still read.
-_kept: list[str] = []
+class _Tables(threading.local):
+    """Working tables of this thread: those of each open scratch, and those that results still read."""
+
+    def __init__(self):
+        self.scratch: list[list[str]] = []
+        self.kept: list[str] = []
+
+
+_tables = _Tables()
 
 
 def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -32,21 +46,21 @@ def materialize(df: DataFrame, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table"
     df.write.parquet(path)
-    if keep:
-        _kept.append(path)
-    elif _scratch:
-        _scratch[-1].append(path)
+    if keep or not _tables.scratch:
+        _tables.kept.append(path)
+    else:
+        _tables.scratch[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Working tables written inside are deleted at the end. What is returned must have been written with keep=True."""
-    _scratch.append([])
+    _tables.scratch.append([])
     try:
         yield
     finally:
-        for path in _scratch.pop():
+        for path in _tables.scratch.pop():
             _delete(spark, path)
 
 
@@ -56,11 +70,11 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def kept_since(mark: int) -> list[str]:
-    return _kept[mark:]
+    return _tables.kept[mark:]
 
 
 def kept() -> int:
-    return len(_kept)
+    return len(_tables.kept)
 
 
 def release(paths: list[str], docs: DataFrame) -> None:

@@ -14,6 +14,25 @@ from collections.abc import Callable, Sequence
 MEMORY = 600_000
 
 
+#: Characters that a block holds at most, where blanks allow a cut.
+BLOCK = 100_000
+
+
+def blocks(text: str, size: int = BLOCK) -> list[str]:
+    """text in parts that can be encoded one by one: cut before single blanks between characters that are not white space. A part is longer than
+    size only as far as it has no such blank."""
+    out, at = [], 0
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
+        while 0 <= cut < len(text) - 1 and (text[cut - 1].isspace() or text[cut + 1].isspace()):
+            cut = text.find(" ", cut + 1)
+        if not 0 <= cut < len(text) - 1:
+            break
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 class Remembered:
     """encode(list of strings) -> list of values; joined values of the pieces are the value of the text."""
 
