@@ -165,21 +165,99 @@ def test_packing_places(spark, corpus):
 # language
 
 
+def random_model(languages=("x",), seed=1):
+    pieces = langid.vocabulary_pieces("piece_bpe_32k.model")
+    return langid.Model(list(languages), "piece_bpe_32k.model", np.random.default_rng(seed).random((len(pieces.row) + 1, len(languages))) / 100)
+
+
+def brute_word(word, model, language=0):
+    """Log of the sum over all segmentations, place by place, with numbers of any size."""
+    from fractions import Fraction
+
+    pieces, marked = langid.vocabulary_pieces(model.vocabulary), langid.START + word
+    p = [Fraction(float(x)) for x in model.probability[:, language]]
+    sums = [Fraction(1)]
+    for end in range(1, len(marked) + 1):
+        total = Fraction(0)
+        for n in range(1, min(end, pieces.longest) + 1):
+            piece = marked[end - n : end]
+            if piece in pieces.row:
+                total += sums[end - n] * p[pieces.row[piece]]
+            elif n == 1:
+                total += sums[end - 1] * p[-1]
+        sums.append(total)
+        if len(sums) > 40:
+            sums[-40] = None
+    return float(np.log(float(sums[-1].numerator >> max(0, sums[-1].numerator.bit_length() - 60))) + max(0, sums[-1].numerator.bit_length() - 60) * np.log(2) - (sums[-1].denominator.bit_length() - 1) * np.log(2))
+
+
 def test_forward_sums_all_segmentations():
-    model = langid.Model(["x"], "piece_bpe_32k.model", None)
-    pieces, longest = langid.vocabulary_pieces(model.vocabulary)
-    rng = np.random.default_rng(1)
-    model.probability = rng.random((len(pieces) + 1, 1)) / 100
+    model = random_model()
+    pieces = langid.vocabulary_pieces(model.vocabulary)
 
     def brute(marked):
         if not marked:
             return 1.0
-        single = any(marked[:1] == p for p in [marked[:1]] if p in pieces)
-        total = sum(model.probability[pieces[marked[:n]], 0] * brute(marked[n:]) for n in range(1, min(len(marked), longest) + 1) if marked[:n] in pieces)
-        return total + (0 if single else model.probability[-1, 0] * brute(marked[1:]))
+        total = sum(model.probability[pieces.row[marked[:n]], 0] * brute(marked[n:]) for n in range(1, min(len(marked), pieces.longest) + 1) if marked[:n] in pieces.row)
+        return total + (0 if marked[:1] in pieces.row else model.probability[-1, 0] * brute(marked[1:]))
 
-    for w in ("the", "nation", "xé漢", "z"):
+    for w in ("the", "nation", "xé漢", "z", "Ж\U00020000"):
         assert np.isclose(langid.log_scores([w], model)[0, 0], np.log(brute(langid.START + w)))
+        assert np.isclose(brute_word(w, model), np.log(brute(langid.START + w)))
+
+
+def test_long_words_score_by_their_own_pieces(monkeypatch):
+    model, rng = random_model(("x", "y")), random.Random(3)
+    found = ["字" * 100, "ж" * 300, "".join(rng.choices("etaoinжé字\U00020000", k=700)), "nation" * 60]
+    got = langid.log_scores(found, model)
+    for w, row in zip(found, got, strict=True):
+        assert np.allclose(row, [brute_word(w, model, k) for k in (0, 1)], rtol=1e-9)
+    for cut in (3, 17, 64):  # segment by segment gives the same
+        monkeypatch.setattr(langid, "LONG", cut)
+        assert np.allclose(langid.log_scores(found, model), got, rtol=1e-12)
+    monkeypatch.undo()
+    longer = ["".join(rng.choices("etaoin", k=5000)), "ж" * 5000]
+    split = langid.log_scores(longer, model)
+    monkeypatch.setattr(langid, "LONG", 10_000)
+    assert np.allclose(split, langid.log_scores(longer, model), rtol=1e-12) and (split < -5000).all()
+
+
+def test_fit_equals_plain_expectation_maximisation():
+    """Two rounds over a few words against sums over listed segmentations."""
+    found, languages = ["the", "then", "nation", "字字"], ["a", "b"]
+    counts = np.array([[3, 0], [1, 2], [0, 5], [2, 1]], float)
+    pieces = langid.vocabulary_pieces("piece_bpe_32k.model")
+    n = len(pieces.row) + 1
+
+    def ways(marked):
+        if not marked:
+            return [[]]
+        out = [[pieces.row[marked[:k]], *w] for k in range(1, len(marked) + 1) if marked[:k] in pieces.row for w in ways(marked[k:])]
+        return out if marked[0] in pieces.row else out + [[n - 1, *w] for w in ways(marked[1:])]
+
+    def arcs(marked):
+        for s in range(len(marked)):
+            hit = [pieces.row[marked[s:e]] for e in range(s + 1, len(marked) + 1) if marked[s:e] in pieces.row]
+            yield from hit if marked[s] in pieces.row else [*hit, n - 1]
+
+    expected = np.zeros((n, 2))
+    for w, c in zip(found, counts, strict=True):
+        for p in arcs(langid.START + w):
+            expected[p] += c / (len(w) + 1)
+    for turn in range(3):
+        if turn:
+            expected = np.zeros((n, 2))
+            for w, c in zip(found, counts, strict=True):
+                each = ways(langid.START + w)
+                weight = np.array([np.prod(probability[way], axis=0) for way in each])  # noqa: F821
+                for way, share in zip(each, weight / weight.sum(0), strict=True):
+                    for p in way:
+                        expected[p] += share * c
+        expected += 0.01
+        expected[-1] = 0
+        probability = expected / expected.sum(0)
+        probability[-1] = langid.UNKNOWN
+    assert np.allclose(langid.fit_counts(found, counts, languages, "piece_bpe_32k.model").probability, probability)
 
 
 def test_language_held_out_accuracy(spark):
@@ -196,6 +274,10 @@ def test_language_odd_rows(spark, corpus):
     got = {(r["doc_id"], r["lang_pred"]): r["score"] for r in langid.predict(docs(spark, ODD + [(9, "²³ 12")]), model).collect()}
     assert got[1, "und"] == got[2, "und"] == got[3, "und"] == got[9, "und"] == 0
     assert all(0 <= s <= 1 for s in got.values())
+    long = [(1, "字" * 3000), (2, "ж" * 300), (3, "the " * 20000 + "x" * 5000), (3, "the " * 20000 + "x" * 5000)]
+    clash = spark.createDataFrame([(*r, "kept", 7) for r in long], "doc_id long, text string, lang_pred string, held_out int")
+    own = langid.predict(clash, model).collect()
+    assert [r["lang_pred"] for r in own if r["doc_id"] == 3] == ["en", "en"] and all(r["lang_pred"] != "und" for r in own)
     none = langid.fit(docs(spark, []))
     assert [r["lang_pred"] for r in langid.predict(docs(spark, [(1, "abc")]), none).collect()] == ["und"]
 

@@ -7,12 +7,17 @@ over all its segmentations into pieces, found by the forward algorithm; a text's
 The fit reads a bounded sample of labelled rows (`train_docs` a language, by hashes of their ids);
 prediction reads whole texts and nothing but the text. Words are scored once a worker and remembered.
 
-Null texts and texts without a letter: `und`, score 0. Empty training data: every text is `und`. Repeated rows keep a row each.
+Sums are formed in the log domain, so words of any length score by their own pieces: nothing is cut and no score has a floor.
+
+Null texts and texts without a letter: `und`, score 0. Empty training data: every text is `und`; an empty table gives no rows. Repeated rows
+keep a row each. Ties: of languages with equal totals the one that sorts first; the score then says so (one half for two). A null id is never
+held out and never trains. Columns that are carried along (`keep`) never meet the operator's own names on the way.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -25,14 +30,12 @@ from .tokens import public
 
 WORDS = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Words are cut after so many characters; the lattice's arithmetic holds that far.
-LONGEST_WORD = 200
-#: Per character, so that products of probabilities stay near 1.
-LIFT = 20.0
 UNKNOWN = 1e-9
 MEMORY = 300_000
-#: Places times languages that are worked on at once.
-GROUP = 200_000
+#: Characters that are worked on at once.
+GROUP = 50_000
+#: Longer words are scored in segments of so many characters and not remembered.
+LONG = 2_000
 
 
 @dataclass
@@ -42,112 +45,152 @@ class Model:
     probability: np.ndarray  # (pieces + 1, languages); the last row is for characters outside the vocabulary
 
 
-@functools.lru_cache(maxsize=2)
-def vocabulary_pieces(name: str) -> tuple[dict[str, int], int]:
-    """piece -> row, and the longest piece's length."""
-    import sentencepiece
+class Pieces:
+    """All pieces of a vocabulary, and where they lie in a string."""
+
+    def __init__(self, name: str):
+        import ahocorasick
+        import sentencepiece
+
+        p = sentencepiece.SentencePieceProcessor(model_file=public(name))
+        kept = [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
+        self.row = {x: i for i, x in enumerate(sorted(set(kept)))}
+        self.size = np.array([len(x) for x in self.row] + [1], np.int64)  # the last row is one character that has no piece
+        self.longest = int(self.size.max())
+        self.automaton = ahocorasick.Automaton()
+        for x, i in self.row.items():
+            if START not in x[1:]:  # words begin with the mark and hold no other
+                self.automaton.add_word(x, i)
+        self.automaton.make_automaton()
 
-    p = sentencepiece.SentencePieceProcessor(model_file=public(name))
-    kept = [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
-    kept = sorted({x for x in kept if x == x.lower() and len(x) <= 16})
-    return {x: i for i, x in enumerate(kept)}, max(map(len, kept), default=1)
+    def arcs(self, marked: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first character, character after the last, piece); a character that is no piece by itself is an arc of the last row."""
+        found = np.fromiter(itertools.chain.from_iterable(self.automaton.iter(marked)), np.int64).reshape(-1, 2)
+        end, piece = found[:, 0] + 1, found[:, 1]
+        start = end - self.size[piece]
+        alone = np.ones(len(marked), bool)
+        alone[start[self.size[piece] == 1]] = False
+        other = np.flatnonzero(alone)
+        return np.append(start, other), np.append(end, other + 1), np.append(piece, np.full(len(other), len(self.row)))
+
+
+@functools.lru_cache(maxsize=2)
+def vocabulary_pieces(name: str) -> Pieces:
+    return Pieces(name)
 
 
 def words_of(text: str) -> list[str]:
-    out = WORDS.findall(text.lower())
-    if len(max(out, key=len, default="")) > LONGEST_WORD:
-        out = [w[k : k + LONGEST_WORD] for w in out for k in range(0, len(w), LONGEST_WORD)]
+    return WORDS.findall(text.lower())
+
+
+def _by_place(place: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of arcs by (place, node), and where each place's run begins."""
+    order = np.lexsort((node, place))
+    return order, np.searchsorted(place[order], np.arange(int(place.max(initial=0)) + 2))
+
+
+class Lattice:
+    """All segmentations of some words. Nodes are the places between characters, one word after another; arcs are pieces."""
+
+    def __init__(self, words: list[str], pieces: Pieces):
+        size = np.array([len(w) + 1 for w in words], np.int64)
+        begin = np.cumsum(size) - size  # in the joined string
+        start, end, self.piece = pieces.arcs(START + START.join(words))
+        self.word = np.repeat(np.arange(len(words)), size)[start]
+        self.start, self.end = start + self.word, end + self.word  # a word has a node more than characters
+        self.first, self.last = begin + np.arange(len(words)), begin + np.arange(len(words)) + size
+        self.size = size
+        self.ahead = _by_place(end - begin[self.word], self.end)
+        self.back = _by_place(size[self.word] - (start - begin[self.word]), self.start)
+
+    def sums(self, log_p: np.ndarray, forward: bool) -> np.ndarray:
+        """(node, language): log of the summed probabilities of all ways from the word's first node, or to its last one."""
+        (order, cuts), come, go, edge = (self.ahead, self.start, self.end, self.first) if forward else (self.back, self.end, self.start, self.last)
+        out = np.zeros((int(self.last[-1]) + 1, log_p.shape[1]))
+        out[edge] = 0
+        for a, b in zip(cuts[1:-1].tolist(), cuts[2:].tolist(), strict=True):
+            arc = order[a:b]
+            to = go[arc]
+            seg = np.flatnonzero(np.diff(to, prepend=-1))
+            out[to[seg]] = log_sums(out[come[arc]] + log_p[arc], seg)
+        return out
+
+
+def log_sums(v: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """log of the sum of exp(v) for each run of rows that begins at seg, whatever v's size."""
+    top = np.maximum.reduceat(v, seg)
+    return top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(seg, len(v))), axis=0)), seg))
+
+
+def grouped(words: list[str]) -> list[list[int]]:
+    """Numbers of the words by length, in groups of some GROUP characters; a longer word is a group."""
+    out, held = [], 0
+    for i in sorted(range(len(words)), key=lambda i: len(words[i])):
+        if not out or held + len(words[i]) > GROUP:
+            out.append([])
+            held = 0
+        out[-1].append(i)
+        held += len(words[i]) + 1
     return out
 
 
-def lattice(words: list[str], pieces: dict[str, int], longest: int) -> tuple[np.ndarray, ...]:
-    """Arcs (word, start, end, piece), sorted by end."""
-    w_, s_, e_, p_ = [], [], [], []
-    unknown, get = len(pieces), pieces.get
-    for k, word in enumerate(words):
-        marked = START + word
-        n = len(marked)
-        for s in range(n):
-            single = False
-            for e in range(s + 1, min(n, s + longest) + 1):
-                p = get(marked[s:e])
-                if p is not None:
-                    w_.append(k), s_.append(s), e_.append(e), p_.append(p)
-                    single = single or e == s + 1
-            if not single:
-                w_.append(k), s_.append(s), e_.append(s + 1), p_.append(unknown)
-    arcs = [np.array(x, dtype=np.int32) for x in (w_, s_, e_, p_)]
-    order = np.argsort(arcs[2], kind="stable")
-    return tuple(x[order] for x in arcs)
-
-
-def forward(words: list[str], arcs, lifted: np.ndarray) -> np.ndarray:
-    """alpha[word, place, language], each character weighted with LIFT. lifted: the probability of each arc."""
-    w, s, e, _ = arcs
-    alpha = np.zeros((len(words), max(map(len, words)) + 2, lifted.shape[1]))
-    alpha[:, 0] = 1
-    ends = np.searchsorted(e, np.arange(alpha.shape[1] + 1))
-    for end in range(1, alpha.shape[1]):
-        a = slice(ends[end], ends[end + 1])
-        np.add.at(alpha, (w[a], end), alpha[w[a], s[a]] * lifted[a])
-    return alpha
+def long_score(word: str, pieces: Pieces, log_p: np.ndarray) -> np.ndarray:
+    """Log probability of one long word in each language: the same sums, with the last places alone in memory."""
+    marked, keep = START + word, pieces.longest
+    state = np.full((keep, log_p.shape[1]), -np.inf)  # of the places before a
+    state = np.concatenate([state, np.zeros((1, log_p.shape[1]))])
+    for a in range(0, len(marked), LONG):
+        b, low = min(len(marked), a + LONG), max(0, a - keep + 1)
+        start, end, piece = pieces.arcs(marked[low:b])
+        start, end = start + low - a, end + low - a
+        inside = end > 0
+        start, end, piece = start[inside], end[inside], piece[inside]
+        order, cuts = _by_place(end, start)
+        lp = log_p[piece[order]]
+        come = start[order] + keep
+        state = np.concatenate([state, np.zeros((b - a, state.shape[1]))])
+        for place in range(1, b - a + 1):
+            arc = slice(cuts[place], cuts[place + 1])
+            state[keep + place] = log_sums(state[come[arc]] + lp[arc], np.zeros(1, np.int64))[0]
+        state = state[-keep - 1 :]
+    return state[-1]
 
 
 def log_scores(words: list[str], model: Model) -> np.ndarray:
     """Log probability of each word in each language."""
-    pieces, longest = vocabulary_pieces(model.vocabulary)
+    pieces = vocabulary_pieces(model.vocabulary)
     out = np.zeros((len(words), len(model.languages)))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    k = 0
-    while k < len(order):
-        n = 1
-        while k + n < len(order) and (n + 1) * (len(words[order[k + n]]) + 2) * out.shape[1] <= GROUP:
-            n += 1
-        group = [words[i] for i in order[k : k + n]]
-        arcs = lattice(group, pieces, longest)
-        alpha = forward(group, arcs, model.probability[arcs[3]] * LIFT ** (arcs[2] - arcs[1])[:, None])
-        length = np.array([len(x) + 1 for x in group])
-        with np.errstate(divide="ignore"):
-            out[order[k : k + n]] = np.log(alpha[np.arange(n), length]) - length[:, None] * np.log(LIFT)
-        k += n
-    return np.maximum(out, -700.0)
+    log_p = np.log(model.probability)
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    for at in grouped([words[i] for i in short]):
+        group = [short[k] for k in at]
+        lattice = Lattice([words[i] for i in group], pieces)
+        out[group] = lattice.sums(log_p[lattice.piece], True)[lattice.last]
+    for i, w in enumerate(words):
+        if len(w) > LONG:
+            out[i] = long_score(w, pieces, log_p)
+    return out
 
 
 def fit_counts(words: list[str], counts: np.ndarray, languages: list[str], vocabulary: str, rounds: int = 3) -> Model:
     """counts[word, language] -> piece probabilities by expectation maximisation, started from every piece's
     occurrences in any segmentation."""
-    pieces, longest = vocabulary_pieces(vocabulary)
-    n, nl = len(pieces) + 1, len(languages)
+    pieces = vocabulary_pieces(vocabulary)
+    n, nl = len(pieces.row) + 1, len(languages)
     probability = np.ones((n, nl)) / n
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
-    groups, k = [], 0
-    while k < len(order):
-        m = 1
-        while k + m < len(order) and (m + 1) * (len(words[order[k + m]]) + 2) * nl <= GROUP:
-            m += 1
-        group = [words[i] for i in order[k : k + m]]
-        groups.append((group, counts[order[k : k + m]], lattice(group, pieces, longest)))
-        k += m
+    groups = [(at, Lattice([words[i] for i in at], pieces)) for at in grouped(words)] if nl else []
     for turn in range(rounds):
-        expected = np.zeros((n, nl))
-        for group, c, arcs in groups:
-            w, s, e, p = arcs
-            lifted = probability[p] * LIFT ** (e - s)[:, None]
+        expected, log_p = np.zeros((n, nl)), np.log(probability)
+        for at, lattice in groups:
+            c = counts[at][lattice.word]
             if turn == 0:
-                np.add.at(expected, p, c[w] / np.array([len(x) + 1 for x in group])[w, None])
-                continue
-            alpha = forward(group, arcs, lifted)
-            beta = np.zeros_like(alpha)
-            length = np.array([len(x) + 1 for x in group])
-            beta[np.arange(len(group)), length] = 1
-            by_start = np.argsort(-s, kind="stable")
-            starts = np.searchsorted(-s[by_start], -np.arange(alpha.shape[1], -2, -1))
-            for j, start in enumerate(range(alpha.shape[1], -1, -1)):
-                a = by_start[starts[j] : starts[j + 1]]
-                np.add.at(beta, (w[a], start), beta[w[a], e[a]] * lifted[a]) if len(a) else None
-            total = alpha[np.arange(len(group)), length]
-            share = alpha[w, s] * lifted * beta[w, e] / np.maximum(total[w], 1e-300)
-            np.add.at(expected, p, share * c[w])
+                share = 1 / lattice.size[lattice.word, None]
+            else:
+                lp = log_p[lattice.piece]
+                ahead, back = lattice.sums(lp, True), lattice.sums(lp, False)
+                share = np.exp(ahead[lattice.start] + lp + back[lattice.end] - ahead[lattice.last][lattice.word])
+            for k in range(nl):
+                expected[:, k] += np.bincount(lattice.piece, (share * c)[:, k], n)
         expected += 0.01
         expected[-1] = 0
         probability = expected / expected.sum(0)
@@ -198,10 +241,13 @@ class Scorer:
 
     def __call__(self, texts) -> list[tuple[str, float]]:
         found = [words_of(t) if isinstance(t, str) else [] for t in texts]
-        new = list({w for ws in found for w in ws} - self.at.keys())
+        every = set().union(*found)
+        long = {w for w in every if len(w) > LONG}
+        every -= long
+        new = list(every - self.at.keys())
         if len(self.at) + len(new) > MEMORY:
             self.at, self.rows = {}, self.rows[:0]
-            new = list({w for ws in found for w in ws})
+            new = list(every)
         if new and self.model.languages:
             self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
             self.rows = np.concatenate([self.rows, log_scores(new, self.model)])
@@ -210,7 +256,11 @@ class Scorer:
             if not self.model.languages or not any(map(str.isalpha, ws)) and not any(c.isalpha() for w in ws for c in w):
                 out.append(("und", 0.0))
                 continue
-            total = self.rows[np.fromiter(map(self.at.__getitem__, ws), dtype=np.int64, count=len(ws))].sum(0)
+            apart = [w for w in ws if w in long] if long else []
+            known = [w for w in ws if w not in long] if apart else ws
+            total = self.rows[np.fromiter(map(self.at.__getitem__, known), dtype=np.int64, count=len(known))].sum(0)
+            if apart:
+                total = total + log_scores(apart, self.model).sum(0)
             best = int(total.argmax())
             out.append((self.model.languages[best], float(1 / np.exp(total - total[best]).sum())))
         return out
