@@ -33,6 +33,13 @@ def test_urls_odd_rows(spark):
     assert urls.filter_urls(spark.createDataFrame([], PAGES), none).count() == 0
 
 
+def test_urls_clashing_columns_long_urls_and_null_ids(spark):
+    long = "http://a.example.org/" + "é/" * 500_000 + "?q"
+    pages = spark.createDataFrame([(1, long, "h", 1.0), (None, "http://b.net/", "h", 2.0), (1, long, "h", 1.0)], "page_id long, url string, host string, lower double")
+    got = urls.filter_urls(pages, spark.createDataFrame([(1, 0), (None, 1)], "page_id long, bad int")).collect()
+    assert sorted((r["page_id"] or 0, r["host"], len(r["path"]), r["n_labelled"]) for r in got) == [(0, "b.net", 1, 0), (1, "a.example.org", 1_000_001, 2), (1, "a.example.org", 1_000_001, 2)]
+
+
 def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     rows = [(i, f"http://{h}.example.net/p", None) for i, h in enumerate(["bad"] * 40 + ["good"] * 400 + ["one"])]
     bad = [(i, int(i < 40 or i == 440)) for i in range(441)]
@@ -62,6 +69,28 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.top_k(empty, empty).count() == 0
 
 
+def test_grid():
+    assert topk.grid(1026, 51_282, 12) == (1, 12) and topk.grid(100_000, 5_000_000, 12)[0] == 7 and topk.grid(0, 0, 12) == (1, 1)
+
+
+def test_top_k_cells_ties_and_huge_components(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.integers(-2, 3, 4).astype(float).tolist(), "extra") for i in range(400)] + [(7, [1.0], "again"), (None, [1.0], "no id")]
+    rows += [(5000, [1e300, 1.0], "x"), (5001, [2.0, 1.0], "x"), (5002, [1e-300, -1e308], "x"), (5003, [3e17, 3e17], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")
+    monkeypatch.setattr(topk, "QUERY_CELL", 40)
+    for group in (64, 4096):
+        monkeypatch.setattr(topk, "GROUP", group)
+        got = defaultdict(list)
+        for r in topk.top_k(df, df.where("vec_id % 4 = 0 or vec_id >= 5000")).orderBy("query_id", "rank").collect():
+            got[r["query_id"]].append((r["vec_id"], r["score"]))
+        whole = [(i, [int(min(max(np.floor(256 * x), -1.7976931348623157e308), 1.7976931348623157e308)) for x in v]) for i, v, _ in rows if i is not None]
+        for q, v in whole:
+            if q % 4 == 0 or q >= 5000:
+                top = sorted((-min(max(sum(a * b for a, b in zip(v, w, strict=False)), 1 - 2**63), 2**63 - 1), i) for i, w in whole if i != q)[:5]
+                assert got[q] == [(i, -s) for s, i in top]
+
+
 # near-duplicate embeddings
 
 
@@ -106,9 +135,29 @@ def test_near_duplicates_recall_and_exactness(spark, tile):
 
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(1)
-    a, b = embeddups.Coded(rng.normal(size=(400, 64))), embeddups.Coded(rng.normal(size=(400, 64)))
-    error = a.turned @ b.signs.T / b.factor - a.unit @ b.unit.T
-    assert abs(error.mean()) < 0.01 and (abs(error) <= b.error).mean() > 0.999
+    for dim in (64, 13):
+        a, b = (embeddups.unit_of(rng.normal(size=(400, dim))) for _ in range(2))
+        estimate, bound = embeddups.estimated(embeddups.Coded.of(a), embeddups.Coded.of(b))
+        error = estimate - a @ b.T
+        assert abs(error.mean()) < 0.02 and (abs(error) <= bound).mean() > 0.999
+
+
+def test_bands_grow_with_the_vectors():
+    assert embeddups.banding(100, 0.98) == embeddups.banding(256 * 1024, 0.98) == (8, 8)
+    bands, bits = embeddups.banding(10**10, 0.98)
+    assert 10**10 / 2**bits <= 1024 and bands <= 32
+    assert embeddups.banding(5, 1.0) == (1, 8)
+
+
+def test_near_duplicates_tiny_and_huge_components(spark):
+    rng = np.random.default_rng(2)
+    rows = [(1, [2e-200, 1e-200], 1, "x"), (2, [3e-200, 1e-200], 1, "x"), (3, [2e300, 1e300], 2, "x"), (4, [3e300, 1e300], 2, "x"), (5, [5e-324, 0.0], 3, "x"), (6, [1e-320, 0.0], 3, "x")]
+    rows += [(10 + k, v, 4, "y") for k, v in enumerate((rng.normal(size=5000) + 0 * 1j).real.tolist() for _ in range(1))]
+    rows += [(20, rows[-1][1], 4, "y"), (20, rows[-1][1], 4, "y"), (20, [1.0, 2.0], 4, "z"), (20, [1.0, 2.01], 4, "z"), (None, [1.0, 2.0], 4, "z")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, component_id string")
+    got = sorted((r["vec_id"] or 0, r["n_links"], r["component_id"]) for r in embeddups.near_duplicates(df).collect())
+    assert got[1:7] == [(1, 1, 1), (2, 1, 1), (3, 1, 3), (4, 1, 3), (5, 1, 5), (6, 1, 5)]
+    assert got[0] == (0, 0, None) and got[7] == (10, 2, 10) and sorted(n for i, n, _ in got if i == 20) == [1, 1, 2, 2]
 
 
 # WARC
