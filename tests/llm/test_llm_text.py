@@ -357,8 +357,8 @@ def brute_join(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("n, percent, tile", [(4, 85, 512), (5, 80, 512), (2, 50, 3)])
-def test_join_equals_brute_force(spark, n, percent, tile):
+@pytest.mark.parametrize("n, percent, tile, group, postings", [(4, 85, 512, 256, 4096), (5, 80, 512, 256, 4096), (2, 50, 3, 2, 5), (1, 60, 4, 1, 7)])
+def test_join_equals_brute_force(spark, n, percent, tile, group, postings):
     rng = random.Random(n)
     base = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 60))) for _ in range(25)]
     rows = []
@@ -368,7 +368,7 @@ def test_join_equals_brute_force(spark, n, percent, tile):
             w[rng.randrange(len(w))] = f"W{rng.randint(0, 60)}"
         rows.append((i, " ".join(w)))
     rows += [(200, None), (201, ""), (202, "one two"), (203, "ONE  two"), (204, "one\x0btwo"), (205, "one two")]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), n, percent, tile=tile).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs(spark, rows), n, percent, tile=tile, group=group, postings=postings).collect()}
     assert got == brute_join(rows, n, percent)
 
 
@@ -377,6 +377,11 @@ def test_join_odd_rows(spark, corpus):
     assert len(got) == len(ODD)
     assert {r["component_id"] for r in got if r["doc_id"] in (7, 8)} == {7}
     assert next(r for r in got if r["doc_id"] is None)["component_id"] is None
+    text = "a b c d e f"
+    odd = [(None, text, 0), (None, text + " g h", 0), (9, "own words here and there " * 9, 0), (9, "own words here and there " * 9 + "x", 0), (9, "of another kind, this one is", 0), (None, "own words here and there " * 9 + "y", 0)]
+    rows = sorted((r["n_shingles"], r["component_id"] or 0, r["first"]) for r in ngram_join.join(spark.createDataFrame(odd, "doc_id long, text string, h int")).collect())
+    assert rows[0] == (2, 0, True) and rows[1][:2] == (2, 9) and rows[2] == (4, 0, True)  # a null id has its shingles
+    assert [r[1] for r in rows[3:]] == [9, 9, 9] and sorted(r[2] for r in rows[3:]) == [False, False, True]
     assert ngram_join.join(docs(spark, [])).count() == 0
     rows = [tuple(r) for r in corpus.select("doc_id", "text").collect()]
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(corpus).collect()} == brute_join(rows, 5, 80)
@@ -437,6 +442,26 @@ def test_repeats_equal_brute_force(spark, corpus, hot):
     assert got == brute_repeats(rows)
 
 
+def test_bytes_decide_where_hashes_agree(spark, monkeypatch):
+    """With hashes of a few bits, runs that differ meet as equal ones; none of them may go."""
+    real = suffixes.mix
+    monkeypatch.setattr(suffixes, "mix", lambda x: real(x) & np.uint64(0xF00000000000000F) if np.ndim(x) else real(x))
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefgh ", k=300))
+    rows = [(k, "".join(rng.choices("abcdefgh ", k=rng.randint(90, 500))) + passage[k : 120 + 5 * k]) for k in range(30)]
+    table = suffixes.exchange.Docs(np.arange(30), np.zeros(30, np.int64), [t.encode() for _, t in rows], np.zeros(30, bool))
+    found = np.concatenate([np.unique(suffixes.Runs(table.texts, 100, 32).value)])
+    answers = [(0, np.full(len(found), 3, np.uint8).tobytes())]
+    frames = list(suffixes.sent(100, 32, 6, 48)("c", table, answers))
+    sent = [(r.part, r.chunk, r.data) for f in frames for r in f.itertuples()]
+    import pandas as pd
+
+    met = pd.DataFrame(sorted((p, c, d) for p, c, d in sent if p >= 0), columns=["part", "chunk", "data"])
+    back = [(r.part, r.data) for f in suffixes.repeated(100, 32)([met]) for r in f.itertuples()] + [(p, d) for p, _, d in sent if p < 0]
+    out = next(iter(suffixes.finished(False, False)("c", table, back)))
+    assert [tuple(r) for r in out[["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]].itertuples(index=False)] == brute_repeats(rows)
+
+
 def test_repeats_odd_rows(spark):
     twin = "p" * 60 + "".join(map(chr, range(97, 122))) * 6
     got = suffixes.repeats(docs(spark, [*ODD, (20, twin), (20, twin), (21, twin)]), with_text=True, with_spans=True).collect()

@@ -37,29 +37,39 @@ def small_batches(spark: SparkSession, rows: int):
             spark.conf.set(x, before[x])
 
 
+#: Stands for a null id where only its order counts.
+LOWEST = -(2**63)
+
+
 @dataclass
 class Docs:
-    ids: np.ndarray  # int64
+    ids: np.ndarray  # int64; LOWEST where there is none
     hashes: np.ndarray  # int64, of the texts
     texts: list[bytes]
+    no_id: np.ndarray  # bool
 
     def pack(self) -> bytes:
         import zstandard
 
-        blob = pickle.dumps((self.ids.tobytes(), self.hashes.tobytes(), [len(t) for t in self.texts], b"".join(self.texts)))
+        blob = pickle.dumps((self.ids.tobytes(), self.hashes.tobytes(), self.no_id.tobytes(), [len(t) for t in self.texts], b"".join(self.texts)))
         return zstandard.ZstdCompressor(level=3).compress(blob)
 
     @staticmethod
     def unpack(blob: bytes) -> Docs:
         import zstandard
 
-        ids, hashes, lengths, text = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+        ids, hashes, no_id, lengths, text = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
         ends = np.cumsum([0, *lengths])
-        return Docs(np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64), [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+        texts = [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        return Docs(np.frombuffer(ids, np.int64), np.frombuffer(hashes, np.int64), texts, np.frombuffer(no_id, bool))
+
+    def rows(self):
+        """(id, whether there is none, hash, text) of each."""
+        return zip(self.ids.tolist(), self.no_id.tolist(), self.hashes.tolist(), self.texts, strict=True)
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, h, text), none null -> the table of chunks, written once."""
+    """docs (doc_id, h, text) -> the table of chunks, written once. A null text is empty."""
 
     def run(batches):
         import uuid
@@ -67,25 +77,31 @@ def chunks(docs: DataFrame) -> DataFrame:
         import pandas as pd
 
         own, made = uuid.uuid4().hex, 0
-        ids, hashes, texts, size = [], [], [], 0
+        ids, hashes, texts, none, size = [], [], [], [], 0
 
         def packed():
-            d = Docs(np.array(ids, np.int64), np.array(hashes, np.int64), texts)
+            d = Docs(np.array(ids, np.int64), np.array(hashes, np.int64), texts, np.array(none, bool))
             return pd.DataFrame({"chunk": [f"{own}-{made}"], "n": [len(ids)], "docs": [d.pack()]})
 
         for pdf in batches:
-            for i, h, t in zip(pdf["doc_id"].tolist(), pdf["h"].tolist(), pdf["text"], strict=True):
+            for i, h, t, no in zip(pdf["doc_id"].tolist(), pdf["h"].tolist(), pdf["text"], pdf["no_id"].tolist(), strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 if ids and size + len(raw) > CHUNK_BYTES:
                     yield packed()
-                    ids, hashes, texts, size, made = [], [], [], 0, made + 1
-                ids.append(i), hashes.append(h), texts.append(raw)
+                    ids, hashes, texts, none, size, made = [], [], [], [], 0, made + 1
+                ids.append(i), hashes.append(h), texts.append(raw), none.append(no)
                 size += len(raw)
         if ids:
             yield packed()
 
+    rows = docs.select(F.coalesce("doc_id", F.lit(LOWEST)).alias("doc_id"), "h", F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").isNull().alias("no_id"))
     with small_batches(docs.sparkSession, 1000):
-        return common.materialize(docs.select("doc_id", "h", "text").mapInPandas(common.trimmed(run), CHUNK))
+        return common.materialize(rows.mapInPandas(common.trimmed(run), CHUNK))
+
+
+def with_nulls(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, no_id, ...) with null ids again, without no_id."""
+    return rows.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def parts_for(spark: SparkSession) -> int:

@@ -10,7 +10,9 @@ Lines are what newlines separate, without outer white space; blank lines count f
 round is written to the shared folder; hot lines are reduced by map-side minima before anything is joined.
 
 Empty cases: null text is empty and has no lines. A null id sorts first and is returned as null. Rows of one id with different texts are documents
-of their own; the same row twice does not repeat itself.
+of their own, in the order of their hashes; the same row twice does not repeat itself. Lines and texts of any length are taken whole; an empty table
+gives no rows. Ids are whole numbers. Of equal runs the one of the smallest (id, place) stays. Other columns of the input never meet the operator's
+names, since it takes only the two it is told.
 """
 
 from __future__ import annotations
@@ -153,7 +155,7 @@ def _blobs(batches):
             yield pd.DataFrame(rows, columns=["chunk", "part", "data"])
 
 
-RESULT = "doc_id long, h long, n_lines long, n_removed long, n_runs long, text string"
+RESULT = "doc_id long, no_id boolean, h long, n_lines long, n_removed long, n_runs long, text string"
 
 
 def _finished(min_words: int):
@@ -166,10 +168,10 @@ def _finished(min_words: int):
             for a, b, c in zip(d.tolist(), line.tolist(), off.tolist(), strict=True):
                 runs.setdefault(a, []).append((b, c))
         rows = []
-        for d, (i, h, text) in enumerate(zip(docs.ids.tolist(), docs.hashes.tolist(), docs.texts, strict=True)):
+        for d, (i, no, h, text) in enumerate(docs.rows()):
             own = lines_of(text)
             if d not in runs:
-                rows.append((i, h, len(own), 0, 0, text.decode("utf-8", "surrogatepass")))
+                rows.append((i, no, h, len(own), 0, 0, text.decode("utf-8", "surrogatepass")))
                 continue
             words = np.cumsum([0] + [len(x.split()) for _, x in own])
             gone = np.zeros(len(own) + 1, np.int64)
@@ -182,7 +184,7 @@ def _finished(min_words: int):
             if lost.any():
                 out = {own[k][0] for k in np.flatnonzero(lost)}
                 kept = b"\n".join(x for k, x in enumerate(text.split(b"\n")) if k not in out)
-            rows.append((i, h, len(own), int(lost.sum()), int((np.diff(lost.astype(int), prepend=0) > 0).sum()), kept.decode("utf-8", "surrogatepass")))
+            rows.append((i, no, h, len(own), int(lost.sum()), int((np.diff(lost.astype(int), prepend=0) > 0).sum()), kept.decode("utf-8", "surrogatepass")))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
 
     return then
@@ -190,10 +192,9 @@ def _finished(min_words: int):
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, h, n_lines, n_removed, n_runs, text: what is kept), a row for each row of docs."""
-    lowest = -(2**63)
     keyed = common.with_key(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     with common.scratch(docs.sparkSession):
-        table = exchange.chunks(keyed.withColumns({"doc_id": F.coalesce("doc_id", F.lit(lowest)), "text": F.coalesce("text", F.lit(""))}))
+        table = exchange.chunks(keyed)
         places = exchange.answered(table, exchange.count(table, _values), _places, PLACES)
         ordered = in_order(places)
         levels = doubled(ordered)
@@ -203,7 +204,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_column: str = "doc_id"
             runs = places.join(found, ["doc_id", "h", "line"]).select("chunk", "d", "line", "off").repartition("chunk").sortWithinPartitions("chunk")
             answers = common.materialize(runs.mapInPandas(_blobs, "chunk string, part int, data binary"))
         out = exchange.answered(table, answers, _finished(min_words), RESULT, keep=True)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id"))).withColumnRenamed("doc_id", id_column)
+    return exchange.with_nulls(out).withColumnRenamed("doc_id", id_column)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

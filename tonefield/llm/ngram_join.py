@@ -4,17 +4,21 @@ Two documents are linked when percent * |union| <= 100 * |intersection| of their
 first (by how many documents hold them, then by hash). A set's prefix is its first |x| - ceil(percent |x| / 100) + 1
 elements: linked sets share an element of their prefixes. Then
 
-1. equal sets become one; sets of the same prefix and size become one group;
-2. groups that share a prefix element, with sizes in reach of each other, form candidate clusters (shingles that only one document
-   holds cannot be shared and are left out);
-3. clusters are expanded to their members, whose sets are verified exactly against each other, skipping pairs
-   already known to be connected. Large clusters are dealt into tiles, and pairs of tiles are separate work;
-4. verified links are closed to components.
-
-Nothing lists all pairs of a cluster; no list, cluster or candidate set is capped.
-
-Empty cases: null text or no word: an empty set, linked with nothing. A null id takes no part and keeps its row with a null component.
-Rows that share an id are one node of the graph, with the links of each.
+1. equal sets become one; sets of the same prefix and size become one group (groups of very many sets become several);
+2. groups that share a prefix element (shingles that only one document holds cannot be shared and are left out) are filtered pair by pair: by their
+   sizes, and by what is left behind the shared element's places in both. Pairs are formed element by element in memory; what leaves a
+   task is a spanning forest of those that pass;
+3. the forest says which groups are worked on together: a unit of work is a set of groups that fits a tile, or a pair of tiles of a larger one, and a
+   group is sent to a pair of tiles only if a pair that passed lies there. So the sets sent are no more than twice the pairs that passed;
+4. groups are expanded to their members, whose sets are verified exactly against each other, skipping pairs already known to be connected;
+5. verified links are closed to components.
+
+Nothing lists all pairs of a cluster outside a task; no list, cluster or candidate set is capped.
+
+Empty cases: null text or no word: an empty set, linked with nothing. A null id takes part like others; its component is the smallest id that it
+reaches, null if it reaches none. Rows that share an id with different texts are documents of their own; the same row twice is one document, and
+keeps both rows. Texts of any length are taken whole; an empty table gives no rows. Ids are whole numbers. Other columns of the input never meet the
+operator's names, since it takes only the two it is told.
 """
 
 from __future__ import annotations
@@ -27,7 +31,8 @@ from . import common, exchange
 from .embeddups import groups_of
 from .words import mix, shingle_sets
 
-TILE = 512
+#: Sets of a tile, sets of a group, postings of an element that meet in one go.
+TILE, GROUP, POSTINGS = 512, 256, 4096
 
 
 def prefix_length(n, percent: int):
@@ -50,11 +55,11 @@ def _values(n: int):
     return values
 
 
-INFO = "id long, h long, n long, k1 long, k2 long, p1 long, prefix binary, own binary"
+INFO = "doc_id long, no_id boolean, h long, n long, k1 long, k2 long, p1 long, prefix binary, places binary, own binary"
 
 
 def _info(n: int, percent: int):
-    """A row a document: size, key of the set, key of the prefix; what can be shared of the prefix, and the set itself
+    """A row a document: size, key of the set, key of the prefix; what can be shared of the prefix and where it stands there, and the set itself
     if anything can."""
 
     def then(_, docs, answers):
@@ -64,87 +69,152 @@ def _info(n: int, percent: int):
         sets = shingle_sets(docs.texts, n)
         known = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]))
         rows = []
-        for i, h, s in zip(docs.ids.tolist(), docs.hashes.tolist(), sets, strict=True):
+        for (i, no, h, _), s in zip(docs.rows(), sets, strict=True):
             k1, k2 = _set_key(s)
             if not len(s):
-                rows.append((i, h, 0, k1, k2, 0, None, None))
+                rows.append((i, no, h, 0, k1, k2, 0, None, None, None))
                 continue
             rare = levels[np.searchsorted(known, s)]
             p = prefix_length(len(s), percent)
             order = np.argsort(rare, kind="stable")[:p]  # s ascends, so ties go by hash
-            head, shared = s[order], rare[order] > 0
-            shared = head[shared]
+            head, at = s[order], np.flatnonzero(rare[order] > 0)
             p1 = int(np.sum(mix(head), dtype=np.uint64).astype(np.int64))
-            rows.append((i, h, len(s), k1, k2, p1, shared.tobytes() if len(shared) else None, s.tobytes() if len(shared) else None))
+            rows.append((i, no, h, len(s), k1, k2, p1, *((head[at].tobytes(), at.astype(np.int32).tobytes(), s.tobytes()) if len(at) else (None,) * 3)))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in INFO.split(", ")])
 
     return then
 
 
-def _fold(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (key, node) -> one (key, smallest node) each, and edges from the others of a key to it."""
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    low = np.repeat(node[first], np.diff(np.append(first, len(key))))
-    other = low != node
-    return key[first], node[first], node[other], low[other]
-
-
 def _postings(percent: int):
-    """Groups -> (key, node) of their sharable prefix elements, one a key and task, and (null, a, b) edges inside the task.
+    """Groups (node, n, prefix, places) -> (key, node, n, place) of their sharable prefix elements.
 
     A key names an element and a class of sizes; sizes in reach of each other fall in the same class or in neighbouring
-    ones, so each set stands in its own and the next.
+    ones, so each group stands in its own and the next.
     """
 
     def run(batches):
         import pandas as pd
 
-        keys, nodes, held, done_a, done_b = [], [], 0, [], []
-
-        def folded():
-            k, v, a, b = _fold(np.concatenate(keys), np.concatenate(nodes))
-            done_a.append(a), done_b.append(b)
-            return k, v
-
         for pdf in batches:
-            for node, n, prefix in zip(pdf["node"].tolist(), pdf["n"].tolist(), pdf["prefix"], strict=True):
-                tokens = np.frombuffer(prefix, np.uint64)
+            out = []
+            for node, n, prefix, places in zip(pdf["node"].tolist(), pdf["n"].tolist(), pdf["prefix"], pdf["places"], strict=True):
+                tokens, at = np.frombuffer(prefix, np.uint64), np.frombuffer(places, np.int32)
                 size = int(np.floor(np.log(n) / -np.log(percent / 100))) if percent < 100 else n
                 for c in (size, size + 1):
-                    keys.append(mix(tokens + np.uint64(c * 0x632BE59BD9B4E019 % 2**64)))
-                    nodes.append(np.full(len(tokens), node, np.int64))
-                held += 2 * len(tokens)
-            if held > 1_000_000:
-                k, v = folded()
-                keys, nodes, held = [k], [v], 0
-        if keys:
-            k, v = folded()
-            yield pd.DataFrame({"key": pd.array(k.astype(np.int64), dtype="Int64"), "a": v, "b": v})
-            a, b = np.concatenate(done_a), np.concatenate(done_b)
-            if len(a):
-                a, b = common.forest(a, b)
-                yield pd.DataFrame({"key": pd.array([None] * len(a), dtype="Int64"), "a": a, "b": b})
+                    out.append((mix(tokens + np.uint64(c * 0x632BE59BD9B4E019 % 2**64)).astype(np.int64), np.full(len(tokens), node), np.full(len(tokens), n), at))
+            if out:
+                yield pd.DataFrame({c: np.concatenate(x) for c, x in zip(("key", "node", "n", "place"), zip(*out, strict=True), strict=True)})
 
     return run
 
 
-def _meet(batches):
-    """(key, node), all of a key in one task -> edges."""
+UNIT = ["key", "ki", "kj"]
+
+
+def met(posted: DataFrame, most: int = POSTINGS) -> DataFrame:
+    """Postings dealt by key; those of a key with very many by pairs of tiles."""
+    large = posted.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > most).select("key", F.ceil(F.col("c") / most).cast("int").alias("tiles"))
+    dealt = posted.join(large, "key", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = F.expr("cast(pmod(xxhash64(node), tiles) AS int)")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select(*posted.columns, F.least("own", "other").alias("ki"), F.greatest("own", "other").alias("kj"))
+    return dealt.repartition(*UNIT).sortWithinPartitions(*UNIT, "n")
+
+
+def filtered(unit: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int):
+    """Postings in the order of (unit, size) -> index pairs of the same unit that pass: sizes in reach, and enough elements left from the
+    shared one on in both. The first shared element of linked sets always passes."""
+    at, step = np.arange(len(unit)), 1
+    left = n - place
+    while True:
+        at = at[at + step < len(unit)]
+        other = at + step
+        go = (unit[at] == unit[other]) & (100 * n[at] >= percent * n[other])  # sizes ascend: later ones are out of reach too
+        at, other = at[go], other[go]
+        if not len(at):
+            return
+        ok = (100 + percent) * np.minimum(left[at], left[other]) >= percent * (n[at] + n[other])
+        yield at[ok], other[ok]
+        step += 1
+
+
+def whole_units(batches, rows: int = 200_000):
+    """Batches sorted by UNIT -> frames of many whole units."""
     import pandas as pd
 
-    keys, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    held, size = [], 0
     for pdf in batches:
-        keys.append(pdf["key"].to_numpy(np.int64)), nodes.append(pdf["a"].to_numpy())
-    _, _, a, b = _fold(np.concatenate(keys), np.concatenate(nodes))
-    if len(a):
-        a, b = common.forest(a, b)
-        yield pd.DataFrame({"a": a, "b": b})
+        held.append(pdf)
+        size += len(pdf)
+        if size < rows:
+            continue
+        every = pd.concat(held, ignore_index=True)
+        last = (every[UNIT].to_numpy() == every[UNIT].iloc[-1].to_numpy()).all(1)
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        if cut:
+            yield every.iloc[:cut]
+        held = [every.iloc[cut:]]
+        size = len(held[0])
+    if size:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _numbers(frame) -> np.ndarray:
+    """A number for each unit."""
+    k = frame[UNIT].to_numpy()
+    return np.cumsum(np.concatenate([[0], (k[1:] != k[:-1]).any(1)]))
+
+
+def _forest(percent: int):
+    """Postings -> edges of a spanning forest of the pairs that pass."""
 
+    def run(batches):
+        import pandas as pd
+
+        held_a, held_b, size = [], [], 0
+
+        def folded():
+            v, m = common.forest(np.concatenate(held_a), np.concatenate(held_b))
+            return v[v != m], m[v != m]
+
+        for frame in whole_units(batches):
+            node = frame["node"].to_numpy()
+            for i, j in filtered(_numbers(frame), frame["n"].to_numpy(), frame["place"].to_numpy(), percent):
+                held_a.append(node[i]), held_b.append(node[j])
+                size += len(i)
+                if size > 1_000_000:
+                    v, m = folded()
+                    held_a, held_b, size = [v], [m], 0
+        if held_a:
+            v, m = folded()
+            yield pd.DataFrame({"a": v, "b": m})
+
+    return run
+
+
+def _units(percent: int):
+    """Postings with (cluster, tile) -> (node, cluster, ti, tj): where a pair of the node that passes is verified."""
 
-def linked(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links among sets, enough of them to connect all that are connected: (node, smallest of its component)."""
+    def run(batches):
+        import pandas as pd
+
+        for frame in whole_units(batches):
+            node, cluster, tile = (frame[c].to_numpy() for c in ("node", "cluster", "tile"))
+            found = []
+            for i, j in filtered(_numbers(frame), frame["n"].to_numpy(), frame["place"].to_numpy(), percent):
+                low, high = np.minimum(tile[i], tile[j]), np.maximum(tile[i], tile[j])
+                found.append(pd.DataFrame({"node": np.append(node[i], node[j]), "cluster": np.append(cluster[i], cluster[j]), "ti": np.append(low, low), "tj": np.append(high, high)}).drop_duplicates())
+                if len(found) > 50:
+                    found = [pd.concat(found).drop_duplicates()]
+            if found:
+                yield pd.concat(found).drop_duplicates()
+
+    return run
+
+
+def linked(sets: list[np.ndarray], ids: np.ndarray, percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links among sets (with side: between sets of different sides), enough of them to connect all that are connected:
+    (node, smallest of its component)."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
@@ -159,11 +229,13 @@ def linked(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> tuple[np.nd
     which[by] = np.cumsum(new) - 1
     bounds = np.concatenate([[0], np.cumsum(sizes[order])])
     size = sizes[order]
+    side = np.arange(m) if side is None else side[order]
     root = np.arange(m)
     for i in range(m):
         reach = np.searchsorted(size, size[i] * 100 // percent, "right")  # larger ones are out of reach
         others = np.arange(i + 1, reach)
-        if not len(others) or (root[others] == root[i]).all():
+        others = others[(root[others] != root[i]) & (side[others] != side[i])]
+        if not len(others):
             continue
         own = which[bounds[i] : bounds[i + 1]]
         a, n = start[own], stop[own] - start[own]
@@ -184,7 +256,8 @@ def _verify(percent: int):
         import pandas as pd
 
         for group in groups_of(batches, ["cluster", "ti", "tj"]):
-            ids, low = linked([np.frombuffer(x, np.uint64) for x in group["own"]], group["id"].to_numpy(), percent)
+            across = group["ti"].iloc[0] != group["tj"].iloc[0]
+            ids, low = linked([np.frombuffer(x, np.uint64) for x in group["own"]], group["sid"].to_numpy(), percent, group["tile"].to_numpy() if across else None)
             other = ids != low
             if other.any():
                 yield pd.DataFrame({"a": ids[other], "b": low[other]})
@@ -192,42 +265,60 @@ def _verify(percent: int):
     return run
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", tile: int = TILE) -> DataFrame:
-    """(id, n_shingles, component_id), a row for each row of docs."""
+#: By what documents of a component are ordered: null ids last.
+FIRST = "struct(doc_id IS NULL AS no_id, doc_id, h)"
+
+
+def join(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", tile: int = TILE, group: int = GROUP, postings: int = POSTINGS) -> DataFrame:
+    """(id, h: hash of the text, n_shingles, component_id, first: whether no other document of its component has a smaller (id, h)), a row for each row of docs."""
     spark = docs.sparkSession
     keyed = common.with_key(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     with common.scratch(spark):
-        table = exchange.chunks(keyed.where("doc_id IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))))
-        info = exchange.answered(table, exchange.count(table, _values(words)), _info(words, percent), INFO)
+        table = exchange.chunks(keyed)
+        info = exchange.with_nulls(exchange.answered(table, exchange.count(table, _values(words)), _info(words, percent), INFO))
         # 1. equal sets, and groups of equal prefix and size
-        sets = info.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("id").alias("id"), F.min("p1").alias("p1"))
-        able = info.where("prefix IS NOT NULL")
-        one = able.join(sets.select("n", "k1", "k2", "id"), ["n", "k1", "k2", "id"], "left_semi").dropDuplicates(["n", "k1", "k2", "id"])
-        one = common.materialize(one.select("id", "n", "p1", "prefix", "own"))
-        groups = one.groupBy("n", "p1").agg(F.min("id").alias("node"))
-        heads = one.join(groups, ["n", "p1"]).where("id = node").dropDuplicates(["n", "p1"]).select("node", "n", "prefix")
-        # 2. groups that share an element
-        posted = common.materialize(heads.mapInPandas(common.trimmed(_postings(percent)), "key long, a long, b long"))
-        width = common.width(spark)
-        met = common.materialize(posted.where("key IS NOT NULL").select("key", "a").repartition(width, "key").mapInPandas(common.trimmed(_meet), "a long, b long"))
-        inside = one.join(groups, ["n", "p1"]).where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-        clusters = common.components(met.unionAll(posted.where("key IS NULL").select("a", "b")).unionAll(inside))
-        # 3. members of clusters, verified
-        member = clusters.select(F.col("a").alias("id"), F.col("b").alias("cluster")).unionAll(clusters.select("b", "b").distinct())
-        sizes = member.groupBy("cluster").agg(F.count("*").alias("m"))
-        dealt = one.select("id", "own").join(member.join(sizes, "cluster"), "id")
-        dealt = dealt.withColumn("tiles", F.ceil(F.col("m") / tile).cast("int")).withColumn("tile", F.expr("cast(pmod(xxhash64(id), tiles) AS int)"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        dealt = dealt.select("cluster", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"), "id", "own")
+        sets = info.where("n > 0").groupBy("n", "k1", "k2").agg(F.min(F.expr(FIRST)).alias("first"), F.min("p1").alias("p1"), F.count("prefix").alias("able"))
+        sets = common.materialize(sets.withColumn("sid", F.monotonically_increasing_id()))
+        chosen = sets.where("able > 0").select("n", "k1", "k2", "first.doc_id", "first.h", "sid")
+        able = info.where("prefix IS NOT NULL").alias("i")
+        same = [F.col(f"i.{c}") == F.col(f"c.{c}") for c in ("n", "k1", "k2", "h")] + [F.col("i.doc_id").eqNullSafe(F.col("c.doc_id"))]
+        one = able.join(chosen.alias("c"), same).select("sid", "i.n", "p1", "prefix", "places", "own").dropDuplicates(["sid"])
+        one = common.materialize(one)
+        often = one.groupBy("n", "p1").agg(F.ceil(F.count("*") / group).cast("int").alias("subs"))
+        placed = one.select("sid", "n", "p1").join(often, ["n", "p1"]).withColumn("sub", F.expr("pmod(xxhash64(sid), subs)"))
+        placed = common.materialize(placed.select("sid", "n", "p1", "sub"))
+        placed = common.materialize(placed.join(placed.groupBy("n", "p1", "sub").agg(F.min("sid").alias("node")), ["n", "p1", "sub"]).select("sid", "node"))
+        heads = one.join(placed.where("sid = node"), "sid").select("node", "n", "prefix", "places")
+        # 2. pairs of groups that pass
+        posted = common.materialize(heads.mapInPandas(common.trimmed(_postings(percent)), "key long, node long, n long, place int"))
+        near = common.materialize(met(posted, postings).mapInPandas(common.trimmed(_forest(percent)), "a long, b long"))
+        # groups that are alike in prefix and size are candidates of each other too
+        # 3. units of work
+        clusters = common.components(near.unionAll(placed.where("sid <> node").select(F.col("sid").alias("a"), F.col("node").alias("b"))))
+        member = clusters.select(F.col("a").alias("sid"), F.col("b").alias("cluster")).unionAll(clusters.select("b", "b").distinct())
+        sizes = member.groupBy("cluster").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+        member = member.join(placed, "sid").join(sizes, "cluster").withColumn("tile", F.expr("cast(pmod(xxhash64(node), tiles) AS int)"))
+        member = common.materialize(member.select("sid", "node", "cluster", "tiles", "tile"))
+        wide = member.where("tiles > 1 AND sid = node").select("node", "cluster", "tile")
+        across = met(posted.join(wide, "node"), postings).mapInPandas(common.trimmed(_units(percent)), "node long, cluster long, ti int, tj int")
+        across = common.materialize(across.where("ti <> tj").distinct())
+        units = member.select("sid", "cluster", F.col("tile").alias("ti"), F.col("tile").alias("tj"), "tile")
+        units = units.unionByName(member.select("sid", "node", "tile").join(across, "node").select("sid", "cluster", "ti", "tj", "tile"))
+        dealt = one.select("sid", "own").join(units, "sid").select("cluster", "ti", "tj", "tile", "sid", "own")
+        # 4. members, verified
         with exchange.small_batches(spark, 500):
             verified = common.materialize(dealt.repartition("cluster", "ti", "tj").sortWithinPartitions("cluster", "ti", "tj").mapInPandas(common.trimmed(_verify(percent)), "a long, b long"))
-        # 4. components
+        # 5. components
         roots = common.components(verified)
-        named = sets.join(roots.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left").select("n", "k1", "k2", F.coalesce("root", "id").alias("component_id"))
-        rows = common.materialize(info.select("id", "h", "n", "k1", "k2").distinct().join(named, ["n", "k1", "k2"], "left").select(F.col("id").alias("doc_id"), "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id")), keep=True)
-    out = keyed.select("doc_id", "h").join(rows, ["doc_id", "h"], "left")
-    return out.select(F.col("doc_id").alias(id_column), "h", F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), "component_id")
+        rooted = sets.join(roots.select(F.col("a").alias("sid"), F.col("b").alias("root")), "sid", "left").select("n", "k1", "k2", "first", F.coalesce("root", "sid").alias("root"))
+        rooted = common.materialize(rooted)
+        lowest = rooted.groupBy("root").agg(F.min("first").alias("low"))
+        named = rooted.join(lowest, "root").select("n", "k1", "k2", "low")
+        rows = info.select("doc_id", "h", "n", "k1", "k2").distinct().join(named, ["n", "k1", "k2"], "left").withColumn("low", F.coalesce("low", F.expr(FIRST)))
+        rows = common.materialize(rows.select("doc_id", "h", F.col("n").alias("n_shingles"), F.col("low.doc_id").alias("component_id"), (F.col("low") == F.expr(FIRST)).alias("first")), keep=True)
+    out = keyed.select("doc_id", "h").alias("k").join(rows.alias("r"), F.col("k.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("k.h") == F.col("r.h")), "left")
+    return out.select(F.col("k.doc_id").alias(id_column), F.col("k.h").alias("h"), "n_shingles", "component_id", "first")
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(common.table(spark, sf_dir, "documents"), words=4, percent=85).drop("h")
+    return join(common.table(spark, sf_dir, "documents"), words=4, percent=85).drop("h", "first")

@@ -6,7 +6,7 @@ A byte goes if a string of `length` bytes that covers it also starts earlier (sm
    anchors at the same place, so windows whose anchor occurs once in the corpus are unique, and only runs of windows around
    repeated anchors go on. How often anchors occur comes from exchange.count.
 2. These runs are dealt by anchor; equal runs count once, with their earliest place, first inside their chunk, then
-   where they meet. Anchors of very many places are dealt by more of their surroundings.
+   where they meet; hashes find them, their bytes decide. Anchors of very many places are dealt by more of their surroundings.
 3. Where an anchor has different runs, they are cut into bands of 17 windows with 84 bytes in common, and bands that share these with another
    are kept. Where such bands differ, the suffixes of all of them are sorted by the difference-cover algorithm: sampled
    triples are sorted and named, the names' string is sorted recursively, the remaining suffixes are sorted by their first byte and the
@@ -14,7 +14,9 @@ A byte goes if a string of `length` bytes that covers it also starts earlier (sm
 4. Removed ranges return to their chunks, which join them and hash what is left.
 
 Empty cases: null text is empty; nothing is removed from it. A null id sorts first and is returned as null. Rows that share an id count
-as one document; the same row twice does not repeat itself.
+as one document; the same row twice does not repeat itself. Texts of any length are taken whole; an empty table gives no rows. Ids are whole
+numbers. Of equal strings the one of the smallest (id, place) stays. Other columns of the input never
+meet the operator's names, since it takes only the two it is told.
 """
 
 from __future__ import annotations
@@ -138,7 +140,7 @@ def sent(length: int, gram: int, bits: int, hot_level: int):
         ahead = anchor - first
         key, content, doc, first, start, size, ahead = (x[order] for x in (key, content, doc, first, start, size, ahead))
         ids = docs.ids[doc] if len(doc) else np.zeros(0, np.int64)
-        gone = earliest(key, content, ids, start)
+        gone = earliest(key, content, ids, start, eights(r.raw), first, size)
         rows = [(-1, chunk, ranges_blob(doc[gone], start[gone], (start + size)[gone]))] if gone.any() else []
         stays = ~gone
         key, content, doc, first, start, size, ahead, ids = (x[stays] for x in (key, content, doc, first, start, size, ahead, ids))
@@ -258,13 +260,32 @@ def shared_cores(raw: np.ndarray, at: np.ndarray, size: np.ndarray, ahead: np.nd
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def earliest(key, content, ids, start) -> np.ndarray:
-    """Of rows in the order of (key, content, ids, start): whether a row with its (key, content) stands earlier."""
+def same_bytes(eight: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size[k] bytes from a[k] on equal those from b[k] on; 8 bytes at least."""
+    out, words, k = np.ones(len(a), bool), -(-size // 8), 0
+    ends = np.cumsum(words)
+    while k < len(a):
+        stop = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 1_000_000, "right")))
+        n = words[k:stop]
+        begin = np.cumsum(n) - n
+        off = np.minimum(8 * (np.arange(int(n.sum())) - np.repeat(begin, n)), np.repeat(size[k:stop] - 8, n))
+        out[k:stop] = np.logical_and.reduceat(eight[np.repeat(a[k:stop], n) + off] == eight[np.repeat(b[k:stop], n) + off], begin)
+        k = stop
+    return out
+
+
+def earliest(key, content, ids, start, eight, at, size) -> np.ndarray:
+    """Of rows in the order of (key, content, ids, start): whether the first row of its (key, content) stands earlier and holds the same bytes.
+    at, size: the row's bytes in the text behind `eight`."""
     if not len(key):
         return np.zeros(0, bool)
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (content[1:] != content[:-1])])
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return (ids > ids[head]) | (start > start[head]) & (ids == ids[head])
+    gone = (ids > ids[head]) | (start > start[head]) & (ids == ids[head])
+    gone &= size == size[head]
+    k = np.flatnonzero(gone)
+    gone[k] = same_bytes(eight, at[k], at[head[k]], size[k])
+    return gone
 
 
 def repeated(length: int, gram: int):
@@ -282,19 +303,20 @@ def repeated(length: int, gram: int):
         at = np.concatenate([[0], np.cumsum(size[:-1], dtype=np.int64)])
         order = np.lexsort((start, ids, content, key))
         key, content, ids, start, doc, size, ahead, chunk, at = (x[order] for x in (key, content, ids, start, doc, size, ahead, chunk, at))
-        gone = earliest(key, content, ids, start)
+        size = size.astype(np.int64)
+        gone = earliest(key, content, ids, start, eights(raw), at, size)
         out = [(chunk[gone], doc[gone], start[gone], start[gone] + size[gone])]
         # what is first of its kind, where its anchor has other kinds too: bands of windows with a core in common
         heads = np.flatnonzero(~gone)  # the same document twice stays twice
         k = key[heads]
         same = k[1:] == k[:-1]
         h = heads[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(k) else heads
-        run, first, windows, core, kind = shared_cores(raw, at[h], size[h].astype(np.int64), ahead[h].astype(np.int64), key[h], length, gram)
+        run, first, windows, core, kind = shared_cores(raw, at[h], size[h], ahead[h].astype(np.int64), key[h], length, gram)
         run = h[run]
         begin = start[run] + first - at[run]
         order = np.lexsort((begin, ids[run], kind, core))
         run, first, windows, core, kind, begin = (x[order] for x in (run, first, windows, core, kind, begin))
-        gone = earliest(core, kind, ids[run], begin)
+        gone = earliest(core, kind, ids[run], begin, eights(raw), first, windows + length - 1)
         out.append((chunk[run][gone], doc[run][gone], begin[gone], (begin + windows + length - 1)[gone]))
         heads = np.flatnonzero(~gone)  # the same document twice stays twice
         k = core[heads]
@@ -370,7 +392,7 @@ def joined(ranges: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> dict[int,
     return out
 
 
-RESULT = "doc_id long, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, no_id boolean, h long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def finished(with_spans: bool, with_text: bool):
@@ -381,14 +403,14 @@ def finished(with_spans: bool, with_text: bool):
 
         ranges = [tuple(np.frombuffer(x, kind) for x, kind in zip(pickle.loads(data), (np.int32, np.int64, np.int64), strict=True)) for _, data in answers]
         spans, rows = joined(ranges), []
-        for k, (i, h, text) in enumerate(zip(docs.ids.tolist(), docs.hashes.tolist(), docs.texts, strict=True)):
+        for k, (i, no, h, text) in enumerate(docs.rows()):
             own, at, kept = spans.get(k, []), 0, []
             for s, e in own:
                 kept.append(text[at:s])
                 at = e
             kept.append(text[at:])
             plain = b"".join(kept)
-            rows.append((i, h, len(text), len(text) - len(plain), len(own), hashlib.sha256(plain).hexdigest(), *[[x for r in own for x in r]] * with_spans, *[plain.decode("utf-8", "ignore")] * with_text))
+            rows.append((i, no, h, len(text), len(text) - len(plain), len(own), hashlib.sha256(plain).hexdigest(), *[[x for r in own for x in r]] * with_spans, *[plain.decode("utf-8", "ignore")] * with_text))
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")] + ["spans"] * with_spans + ["text"] * with_text)
 
     return then
@@ -399,16 +421,15 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column:
     characters of which only a part is kept]), a row for each row of docs."""
     spark = docs.sparkSession
     bits = exchange.parts_for(spark).bit_length() - 1
-    lowest = -(2**63)
     keyed = common.with_key(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")))
     with common.scratch(spark):
-        table = exchange.chunks(keyed.withColumns({"doc_id": F.coalesce("doc_id", F.lit(lowest)), "text": F.coalesce("text", F.lit(""))}))
+        table = exchange.chunks(keyed)
         runs = exchange.answered(table, exchange.count(table, anchors(length, gram)), sent(length, gram, bits, hot_level), "part int, chunk string, data binary")
         with exchange.small_batches(spark, 8):
             met = common.materialize(runs.where("part >= 0").repartition(common.width(spark), "part").sortWithinPartitions("part").mapInPandas(common.trimmed(repeated(length, gram)), "chunk string, part int, data binary"))
         answers = met.unionByName(runs.where("part < 0"))
         out = exchange.answered(table, answers, finished(with_spans, with_text), RESULT + ", spans array<long>" * with_spans + ", text string" * with_text, keep=True)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != lowest, F.col("doc_id"))).withColumnRenamed("doc_id", id_column)
+    return exchange.with_nulls(out).withColumnRenamed("doc_id", id_column)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
