@@ -1,63 +1,136 @@
 """Target candidates from tokens, and their features' statistics.
 
-tokens: an array of structs (text, start, end) with 0-based offsets. Without a parser, capitalised runs stand for named entities.
+Everything up to a sentence's candidates is worked out inside its row, in arrays, so nothing is shuffled before rows are counted or joined.
+Without a parser, capitalised runs stand for named entities.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
 
+#: In a sentence of more than _SHORT words, places are found from those of groups of words, so that work stays linear in its length.
+_GROUP, _SHORT = 64, 256
+
+
+def token_array(sentence: Column) -> Column:
+    """Array of (i, token, start, stop, title, title_start): words between blanks without their outer punctuation, with 0-based offsets, and the
+    token before. i counts all words between blanks."""
+
+    def joined_before(pieces: Column, n: Column) -> Column:
+        return F.when(n == 0, 0).otherwise(F.length(F.array_join(F.slice(pieces, F.lit(1), n), " ")) + 1)
+
+    def placed(pieces: Column) -> Column:
+        def group(g: Column) -> Column:
+            own = F.struct(F.slice(pieces, g * _GROUP + 1, F.lit(_GROUP)).alias("words"), joined_before(pieces, g * _GROUP).alias("at"))
+            word = lambda o: lambda x, j: F.struct((g * _GROUP + j).alias("i"), x.alias("raw"), (o["at"] + joined_before(o["words"], j)).alias("at"))
+            return T.let(own, lambda o: F.transform(o["words"], word(o)))
+
+        last = F.floor((F.size(pieces) - 1) / _GROUP).cast("int")
+        grouped = F.flatten(F.transform(F.sequence(F.lit(0), last), group))
+        near = lambda x, j: F.struct(j.alias("i"), x.alias("raw"), F.when(j == 0, 0).otherwise(F.length(F.call_function("substring_index", sentence, F.lit(" "), j)) + 1).alias("at"))
+        return F.when(F.size(pieces) <= _SHORT, F.transform(pieces, near)).otherwise(grouped)
+
+    edge = F.lit(V.EDGE_PUNCTUATION)
+    trimmed = lambda x: F.struct(x["i"].alias("i"), F.btrim(x["raw"], edge).alias("token"), (x["at"] + F.length(x["raw"]) - F.length(F.ltrim(x["raw"], edge))).alias("start"))
+
+    def with_title(t: Column) -> Column:
+        def one(x: Column, k: Column) -> Column:
+            before = F.get(t, k - 1)
+            return F.struct(x["i"].alias("i"), x["token"].alias("token"), x["start"].alias("start"), (x["start"] + F.length(x["token"])).alias("stop"), before["token"].alias("title"), before["start"].alias("title_start"))
+
+        return F.transform(t, one)
+
+    words = T.let(F.split(sentence, " ", -1), placed)
+    return T.let(F.filter(F.transform(words, trimmed), lambda x: x["token"] != ""), with_title)
+
+
+def run_array(tokens_: Column) -> Column:
+    """Array of (start, stop, title, title_start): maximal runs of neighbouring capitalised tokens."""
+
+    def runs(caps: Column) -> Column:
+        apart = lambda a, b: ~F.coalesce(a["i"] + 1 == b["i"], F.lit(False))
+        first = F.filter(caps, lambda x, k: apart(F.get(caps, k - 1), x))
+        last = F.filter(caps, lambda x, k: apart(x, F.get(caps, k + 1)))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop"), a["title"].alias("title"), a["title_start"].alias("title_start")))
+
+    return T.let(F.filter(tokens_, lambda t: T.capitalised(t["token"])), runs)
+
+
+def _inner(tokens_: Column) -> Column:
+    """Capitalised tokens with a capitalised neighbour."""
+
+    def within(caps: Column) -> Column:
+        next_to = lambda a, b: F.coalesce(a["i"] + 1 == b["i"], F.lit(False))
+        return F.filter(caps, lambda x, k: next_to(F.get(caps, k - 1), x) | next_to(x, F.get(caps, k + 1)))
+
+    return T.let(F.filter(tokens_, lambda t: T.capitalised(t["token"])), within)
+
+
+def candidate_array(sentence: Column, tokens_: Column, runs: Column) -> Column:
+    """Array of (start, stop, candidate, gen, source) in this order: named runs and their normalised forms, single capitalised tokens inside longer
+    runs, pronouns, title expansions. The first source in this order keeps a span."""
+
+    def made(start: Column, stop: Column, text: Column, gen: int, source: str) -> Column:
+        return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), text.alias("candidate"), F.lit(gen).alias("gen"), F.lit(source).alias("source"))
+
+    cut = lambda a, b: F.substring(sentence, a + 1, b - a)
+    base = F.transform(runs, lambda r: made(r["start"], r["stop"], cut(r["start"], r["stop"]), 0, "NER"))
+
+    def normalised(r: Column) -> Column:
+        text = T.normalise_candidate(cut(r["start"], r["stop"]))
+        at = lambda n: F.position(n, sentence) - 1
+        return T.let(text, lambda n: F.when((n != cut(r["start"], r["stop"])) & (n != "") & (at(n) >= 0), made(at(n), at(n) + F.length(n), n, 1, "NER_NORMALIZED")))
+
+    norm = F.filter(F.transform(runs, normalised), lambda x: x.isNotNull())
+    of = lambda gen, source: lambda t: made(t["start"], t["stop"], t["token"], gen, source)
+    sub = F.transform(_inner(tokens_), of(2, "SUBSPAN_TOKEN"))
+    pron = F.transform(F.filter(tokens_, lambda t: F.lower(t["token"]).isin(*V.RANKER_PRONOUNS)), of(3, "PRONOUN"))
+    led = F.filter(runs, lambda r: F.coalesce(F.lower(r["title"]).isin(*V.HONORIFICS), F.lit(False)))
+    titled = F.transform(led, lambda r: made(r["title_start"], r["stop"], cut(r["title_start"], r["stop"]), 4, "TITLE_EXPANSION"))
+    span = lambda x: F.struct(x["start"], x["stop"], x["candidate"])
+    first = lambda every: F.filter(every, lambda x, k: ~F.coalesce(span(F.get(every, k - 1)) == span(x), F.lit(False)))
+    return T.let(F.sort_array(F.filter(F.concat(base, norm, sub, pron, titled), lambda x: (x["start"] >= 0) & (x["stop"] > x["start"]))), first)
+
+
+def per_sentence(sentences: DataFrame, keys: list[str], then, column: str = "sentence") -> DataFrame:
+    """then(sentence, tokens, runs, candidates) -> an array of structs; keys and the structs' fields, a row an element.
+
+    Each part is bound once, and the array is exploded as it is: a filter on it, or a reference to a column from inside a lambda, would
+    have the optimizer work it out again, for every row or every element.
+    """
+    found = T.let(F.col(column), lambda s: T.let(token_array(s), lambda t: T.let(run_array(t), lambda r: T.let(candidate_array(s, t, r), lambda c: then(s, t, r, c)))))
+    return sentences.select(*keys, F.explode_outer(found).alias("x")).where("x IS NOT NULL").select(*keys, "x.*")
+
 
 def tokens(sentences: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
-    """(keys, sentence, i, token, start, stop): words between blanks without their outer punctuation, with offsets."""
-    rows = sentences.select(*keys, column, F.posexplode(F.split(column, " ", -1)).alias("i", "raw"))
-    before = W.partitionBy(*keys).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.coalesce(F.sum(F.length("raw") + 1).over(before), F.lit(0)).cast("int"))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", r"^[.,!?;:\"'()\[\]{}]+", ""))
-    token = F.regexp_replace("raw", r"^[.,!?;:\"'()\[\]{}]+|[.,!?;:\"'()\[\]{}]+$", "")
-    rows = rows.select(*keys, column, "i", token.alias("token"), (F.col("at") + lead).alias("start"))
-    return rows.where("token <> ''").withColumn("stop", F.col("start") + F.length("token"))
-
-
-def capitalised_runs(tokens: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
-    """(keys, sentence, candidate, start, stop): maximal runs of neighbouring capitalised tokens (gaps and islands)."""
-    w = W.partitionBy(*keys).orderBy("i")
-    caps = tokens.where(T.capitalised("token"))
-    island = F.col("i") - F.row_number().over(w)
-    runs = caps.withColumn("g", island).groupBy(*keys, column, "g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
-    return runs.select(*keys, column, F.substring(F.col(column), F.col("start") + 1, F.col("stop") - F.col("start")).alias("candidate"), "start", "stop")
-
-
-def candidate_rows(tokens_: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
-    """(keys, candidate, start, stop, source): named runs and their normalised forms, single capitalised tokens inside longer runs, pronouns,
-    title expansions. The first source in this order keeps a span."""
-    runs = capitalised_runs(tokens_, keys, column)
-    base = runs.select(*keys, column, "candidate", "start", "stop", F.lit("NER").alias("source"), F.lit(0).alias("gen"))
-    norm = base.withColumn("n", T.normalise_candidate("candidate")).withColumn("p", F.position("n", F.col(column)) - 1)
-    norm = norm.where((F.col("n") != F.col("candidate")) & (F.col("p") >= 0) & (F.col("n") != ""))
-    norm = norm.select(*keys, column, F.col("n").alias("candidate"), F.col("p").alias("start"), (F.col("p") + F.length("n")).alias("stop"), F.lit("NER_NORMALIZED").alias("source"), F.lit(1).alias("gen"))
-    inside = runs.select(*keys, F.col("start").alias("a"), F.col("stop").alias("b"))
-    caps = tokens_.where(T.capitalised("token"))
-    sub = caps.join(inside, keys).where("start >= a AND stop <= b AND stop - start < b - a")
-    sub = sub.select(*keys, column, F.col("token").alias("candidate"), "start", "stop", F.lit("SUBSPAN_TOKEN").alias("source"), F.lit(2).alias("gen"))
-    pron = tokens_.where(F.lower("token").isin(*V.RANKER_PRONOUNS))
-    pron = pron.select(*keys, column, F.col("token").alias("candidate"), "start", "stop", F.lit("PRONOUN").alias("source"), F.lit(3).alias("gen"))
-    before = W.partitionBy(*keys).orderBy("i")
-    led = tokens_.withColumn("title", F.lag("token").over(before)).withColumn("title_start", F.lag("start").over(before)).where(F.lower("title").isin(*V.HONORIFICS))
-    titled = led.select(*keys, F.col("start").alias("a"), "title_start").join(runs.withColumnRenamed("start", "a"), [*keys, "a"])
-    titled = titled.select(*keys, column, F.substring(F.col(column), F.col("title_start") + 1, F.col("stop") - F.col("title_start")).alias("candidate"), F.col("title_start").alias("start"), "stop", F.lit("TITLE_EXPANSION").alias("source"), F.lit(4).alias("gen"))
-    every = base.unionByName(norm).unionByName(sub).unionByName(pron).unionByName(titled).where("start >= 0 AND stop > start")
-    first = every.groupBy(*keys, column, "candidate", "start", "stop").agg(F.min_by("source", "gen").alias("source"))
-    return first
-
-
-def count_buckets(rows: DataFrame, keys: list[str]) -> DataFrame:
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    """(keys, i, token, start, stop)."""
+    rows = sentences.select(*keys, F.explode_outer(T.let(F.col(column), token_array)).alias("t")).where("t IS NOT NULL")
+    return rows.select(*keys, "t.i", "t.token", "t.start", "t.stop")
+
+
+def capitalised_runs(sentences: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
+    """(keys, start, stop)."""
+    found = T.let(F.col(column), lambda s: T.let(token_array(s), run_array))
+    rows = sentences.select(*keys, F.explode_outer(found).alias("r")).where("r IS NOT NULL")
+    return rows.select(*keys, "r.start", "r.stop")
+
+
+def candidate_rows(sentences: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
+    """(keys, candidate, start, stop, source)."""
+    return per_sentence(sentences, keys, lambda s, t, r, c: c, column).drop("gen")
+
+
+def count_stats(counts: DataFrame) -> DataFrame:
+    """counts (n) -> how many sentences, and the fewest, most, mean and median candidates."""
+    return counts.agg(F.count("*").alias("sentences"), F.min("n").alias("fewest"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.median("n"), 6).alias("median"))
+
+
+def count_buckets(n: DataFrame) -> DataFrame:
+    """n (n): a row a sentence, how many candidates it has."""
     bucket = F.when(F.col("n") <= 5, "1-5").when(F.col("n") <= 10, "6-10").when(F.col("n") <= 20, "11-20").when(F.col("n") <= 30, "21-30").otherwise("31+")
     return n.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("sentences"), F.min("n").alias("fewest"), F.max("n").alias("most"))
 
@@ -194,5 +267,12 @@ def parsed_candidates(parse) -> list[tuple[str, int, int, str]]:
     return list(out.values())
 
 
+def parsed_candidate_rows(sentences: DataFrame, keys: list[str], provider) -> DataFrame:
+    """(keys, candidate, start, stop, source) by a parser."""
+    from .resolve import by_sentence
+
+    return by_sentence(sentences, keys, parsed_candidates, "candidate string; start int; stop int; source string", provider)
+
+
 #: Words between a name, its comma and the end of the appositive, at most.
 APPOSITIVE_REACH = 15

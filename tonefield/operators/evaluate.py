@@ -57,6 +57,24 @@ def tier(gold: Column, exact: Column, pool: Column) -> Column:
     return F.when(g == "", "NOT_FOUND").when(F.array_contains(low(exact), g), "EXACT").when(F.array_contains(low(pool), g), "RESOLVED_OR_EMBEDDED").when(sub, "SUBSTRING").otherwise("NOT_FOUND")
 
 
+def match_pools(targets: DataFrame, entities: DataFrame, keys: list[str]) -> DataFrame:
+    """targets (keys, target, embedded_entities), entities as resolve_articles gives them, keys (article_id, sentence_index) -> keys, exact: selected targets; pool: what is embedded in
+    them, names and mentions of entities that the sentence mentions, and its open references."""
+    own = targets.groupBy(*keys).agg(F.collect_set("target").alias("exact"), F.array_distinct(F.flatten(F.collect_list("embedded_entities"))).alias("inside"))
+    rows = entities.where("error IS NULL").select(keys[0], "canonical_name", F.transform("mentions", lambda m: m["text"]).alias("texts"), F.explode(F.array_distinct(F.transform("mentions", lambda m: m["sentence_index"]))).alias(keys[1]))
+    named = rows.groupBy(*keys).agg(F.array_distinct(F.concat(F.collect_list("canonical_name"), F.flatten(F.collect_list("texts")))).alias("named"))
+    none = F.array().cast("array<string>")
+    both = own.join(named, keys, "full")
+    return both.select(*keys, F.coalesce("exact", none).alias("exact"), F.array_distinct(F.concat(F.coalesce("inside", none), F.coalesce("named", none))).alias("pool"))
+
+
+def selection_tiers(gold: DataFrame, pools: DataFrame, keys: list[str]) -> DataFrame:
+    """gold (keys, gold) with the tier in which each gold target is met."""
+    none = F.array().cast("array<string>")
+    rows = gold.join(pools, keys, "left")
+    return rows.select(*keys, "gold", tier(F.col("gold"), F.coalesce("exact", none), F.coalesce("pool", none)).alias("tier"))
+
+
 def tier_summary(rows: DataFrame) -> DataFrame:
     """rows (model, tier) -> counts by tier, recall, and its difference to the first model's."""
     one = lambda t: F.sum((F.col("tier") == t).cast("long"))
@@ -91,14 +109,23 @@ def gold_ranks(ranked: DataFrame, keys: list[str]) -> DataFrame:
 
 def ranking_metrics(ranks: DataFrame, all_targets: bool) -> DataFrame:
     """top-1/3/5, MRR and the median rank. The denominator is all targets, or those that have a candidate; the median is the upper
-    middle for the former, the average of both middles for the latter."""
+    middle for the former, the average of both middles for the latter. Ranks are counted first, so the rest works on a row a rank."""
     rows = ranks if all_targets else ranks.where("rank IS NOT NULL")
-    top = lambda k: F.round(F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))), 6)
-    if all_targets:
-        median = F.expr("element_at(array_sort(collect_list(rank)), cast(floor(count(rank) / 2) AS int) + 1)").cast("double")
-    else:
-        median = F.median("rank")
-    return rows.agg(F.count("*").alias("targets"), F.count("rank").alias("found"), top(1).alias("top1"), top(3).alias("top3"), top(5).alias("top5"), F.round(F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"), median.alias("median_rank"))
+    counts = rows.groupBy("rank").agg(F.count("*").alias("n"))
+    counts = counts.withColumn("upto", F.sum(F.when(F.col("rank").isNotNull(), F.col("n")).otherwise(0)).over(W.orderBy(F.asc_nulls_last("rank"))))  # a row a rank
+    found = F.sum(F.when(F.col("rank").isNotNull(), F.col("n")).otherwise(0))
+    counts = counts.withColumn("found", found.over(W.partitionBy()))
+    at = lambda place: F.min(F.when((F.col("upto") >= place) & F.col("rank").isNotNull(), F.col("rank")))
+    upper, lower = at(F.floor(F.col("found") / 2) + 1), at(F.floor((F.col("found") + 1) / 2))
+    median = upper.cast("double") if all_targets else (upper + lower) / 2
+    share = lambda x: F.round(F.sum(x * F.col("n")) / F.sum("n"), 6)
+    top = lambda k: share(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0)))
+    return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("targets"), F.coalesce(found, F.lit(0)).alias("found"), top(1).alias("top1"), top(3).alias("top3"), top(5).alias("top5"), share(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), median.alias("median_rank"))
+
+
+def first_of_each(rows: DataFrame, kind: str, order: list[str], most: int) -> DataFrame:
+    """The first `most` rows of each kind, numbered from 1."""
+    return rows.withColumn("n", F.row_number().over(W.partitionBy(kind).orderBy(*order))).where(F.col("n") <= most)
 
 
 def error_type(gold: Column, predicted: Column, gold_source: Column, predicted_source: Column) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions import vocab as V
 from ..operators import candidates as C
 from ..operators import evaluate as EV
@@ -37,22 +37,36 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, pos ORDER BY
 ranks AS (SELECT doc_id, line, pos, min(CASE WHEN label = 1 THEN rank END) AS rank FROM ranked GROUP BY 1, 2, 3)"""
 
 
-def _tokens(spark, sf_dir):
-    return C.tokens(A.sentences(spark, sf_dir), KEYS)
+def _gold(t):
+    """The first token of a sentence stands for its gold target."""
+    return F.get(t, F.lit(0))["token"]
 
 
-def _labelled(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    firsts = tokens.groupBy(*KEYS).agg(F.min_by("token", "i").alias("gold"))
-    rows = C.candidate_rows(tokens, KEYS).join(firsts, KEYS)
-    return rows.withColumn("label", (F.lower(F.trim("candidate")) == F.lower("gold")).cast("int"))
+def _labelled(spark, sf_dir, with_sentence=False):
+    """Candidates with their label; with_sentence: and the sentence."""
 
+    def rows(s, t, r, c):
+        same = lambda x, g: (F.lower(F.trim(x["candidate"])) == F.lower(g)).cast("int").alias("label")
+        more = [s.alias("sentence")] if with_sentence else []
+        return T.let(_gold(t), lambda g: F.transform(c, lambda x: F.struct(*[x[k].alias(k) for k in ("candidate", "start", "stop", "source")], same(x, g), *more)))
 
-def _ranked(spark, sf_dir):
-    """A linear score in whole numbers stands in for a trained ranker, so that SQL gives the same order."""
-    score = F.when(F.col("source") == "NER", 100).otherwise(0) + 2 * F.length("candidate") - F.col("start")
-    order = W.partitionBy(*KEYS).orderBy(F.desc("score"), "start", "stop", "candidate")
-    return _labelled(spark, sf_dir).withColumn("score", score).withColumn("rank", F.row_number().over(order))
+    return C.per_sentence(A.sentences(spark, sf_dir), KEYS, rows)
+
+
+def _ranked(spark, sf_dir, then):
+    """then(gold, candidates in the order of a score) -> an array of structs, for each sentence with a candidate. A linear score in whole numbers stands
+    in for a trained ranker, so that SQL gives the same order."""
+
+    def rows(s, t, r, c):
+        score = lambda x: F.when(x["source"] == "NER", 100).otherwise(0) + 2 * F.length(x["candidate"]) - x["start"]
+        placed = F.transform(c, lambda x: F.struct((-score(x)).alias("order"), *[x[k].alias(k) for k in ("start", "stop", "candidate", "source")]))
+        return T.let(_gold(t), lambda g: T.let(F.sort_array(placed), lambda o: F.when(F.size(o) > 0, then(g, o))))
+
+    return C.per_sentence(A.sentences(spark, sf_dir), KEYS, rows)
+
+
+def _counts(spark, sf_dir):
+    return C.per_sentence(A.sentences(spark, sf_dir), KEYS, lambda s, t, r, c: F.when(F.size(c) > 0, F.array(F.struct(F.size(c).alias("n")))))
 
 
 @query(f"WITH {CANDIDATES} SELECT doc_id, line, pos, candidate, start, stop, source, label FROM labelled")
@@ -66,59 +80,71 @@ round(avg(length(candidate)), 4) AS mean_length, round(avg(len({_WORDS("candidat
 
 @query(f"WITH {CANDIDATES} SELECT source, {_STATS} FROM labelled GROUP BY source")
 def candidate_signal_stats(spark, sf_dir):
-    return C.signal_stats(_labelled(spark, sf_dir), "source")
+    return C.signal_stats(_labelled(spark, sf_dir, True), "source")
 
 
 @query(f"WITH {CANDIDATES} SELECT CASE WHEN length(candidate) <= 5 THEN 'short' WHEN length(candidate) <= 15 THEN 'medium' ELSE 'long' END AS bucket, {_STATS} FROM labelled GROUP BY 1")
 def candidate_length_stats(spark, sf_dir):
     n = F.length("candidate")
-    return C.signal_stats(_labelled(spark, sf_dir), F.when(n <= 5, "short").when(n <= 15, "medium").otherwise("long").alias("bucket"))
+    return C.signal_stats(_labelled(spark, sf_dir, True), F.when(n <= 5, "short").when(n <= 15, "medium").otherwise("long").alias("bucket"))
 
 
 @query(f"""WITH {CANDIDATES}, n AS (SELECT count(*) AS n FROM candidates GROUP BY doc_id, line, pos)
 SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' WHEN n <= 30 THEN '21-30' ELSE '31+' END AS bucket, count(*) AS sentences, min(n) AS fewest, max(n) AS most FROM n GROUP BY 1""")
 def candidate_count_buckets(spark, sf_dir):
-    return C.count_buckets(C.candidate_rows(_tokens(spark, sf_dir), KEYS), KEYS)
+    return C.count_buckets(_counts(spark, sf_dir))
 
 
-def _gold_spans(tokens):
-    return tokens.where("i % 5 = 0").select(*KEYS, F.col("start").alias("g_start"), F.col("stop").alias("g_end"))
+@query(f"""WITH {CANDIDATES}, n AS (SELECT count(*) AS n FROM candidates GROUP BY doc_id, line, pos)
+SELECT count(*) AS sentences, min(n) AS fewest, max(n) AS most, round(avg(n), 6) AS mean, round(median(n), 6) AS median FROM n""")
+def candidate_count_stats(spark, sf_dir):
+    return C.count_stats(_counts(spark, sf_dir))
+
+
+@query(f"WITH {CANDIDATES}, kinds AS (SELECT *, CASE WHEN source IN ('NER', 'NER_NORMALIZED') THEN 'ORG' WHEN source = 'TITLE_EXPANSION' THEN 'PERSON' ELSE 'NONE' END AS ner_label FROM labelled) SELECT ner_label, {_STATS} FROM kinds GROUP BY ner_label")
+def candidate_ner_stats(spark, sf_dir):
+    """Runs count as organisations, titled ones as persons; candidates without a label as NONE."""
+    source = F.col("source")
+    ner = F.when(source.isin("NER", "NER_NORMALIZED"), "ORG").when(source == "TITLE_EXPANSION", "PERSON")
+    return C.signal_stats(_labelled(spark, sf_dir, True), F.coalesce(ner, F.lit("NONE")).alias("ner_label"))
+
+
+def _golds(spark, sf_dir):
+    """Every token is a gold span."""
+    return C.tokens(A.sentences(spark, sf_dir), KEYS).select(*KEYS, F.col("start").alias("g_start"), F.col("stop").alias("g_end"), "token")
 
 
 def _key(df):
     return df.withColumn("key", F.struct(*KEYS)).drop(*KEYS)
 
 
-_GOLD_SPANS = TOKENS + ", gold AS (SELECT doc_id, line, pos, start AS g_start, stop AS g_end, token FROM tokens WHERE i % 5 = 0)"
+_GOLD_SPANS = TOKENS + ", gold AS (SELECT doc_id, line, pos, start AS g_start, stop AS g_end, token FROM tokens)"
 
 
 @query(f"""WITH {_GOLD_SPANS}, hits AS (SELECT g.doc_id, g.line, g.pos, g.g_start, g.g_end, max(CASE WHEN r.start = g.g_start AND r.stop = g.g_end THEN 2 WHEN r.start < g.g_end AND r.stop > g.g_start THEN 1 ELSE 0 END) AS best
   FROM gold g LEFT JOIN runs r USING (doc_id, line, pos) GROUP BY ALL)
 SELECT doc_id, line, pos, g_start, g_end, CASE best WHEN 2 THEN 'exact' WHEN 1 THEN 'partial' ELSE 'missed' END AS "match" FROM hits""")
 def span_match(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    spans = C.capitalised_runs(tokens, KEYS).select(*KEYS, F.col("start").alias("s_start"), F.col("stop").alias("s_end"))
-    return EV.span_match(_key(_gold_spans(tokens)), _key(spans), "key").select("key.*", "g_start", "g_end", "match")
+    spans = C.capitalised_runs(A.sentences(spark, sf_dir), KEYS).select(*KEYS, F.col("start").alias("s_start"), F.col("stop").alias("s_end"))
+    return EV.span_match(_key(_golds(spark, sf_dir).drop("token")), _key(spans), "key").select("key.*", "g_start", "g_end", "match")
 
 
-@query(f"""WITH {CANDIDATES}, gold AS (SELECT doc_id, line, pos, start, stop FROM tokens WHERE i % 5 = 0),
+@query(f"""WITH {CANDIDATES}, gold AS (SELECT doc_id, line, pos, start, stop FROM tokens),
 hits AS (SELECT g.doc_id, g.line, g.pos, g.start, g.stop, max((coalesce(c.source, '') = 'NER')::INTEGER) AS named, max((coalesce(c.source, '') IN ('NER', 'SUBSPAN_TOKEN'))::INTEGER) AS with_subspans,
   max((coalesce(c.source, '') IN ('NER', 'SUBSPAN_TOKEN', 'PRONOUN'))::INTEGER) AS with_pronouns FROM gold g LEFT JOIN candidates c ON g.doc_id = c.doc_id AND g.line = c.line AND g.pos = c.pos AND g.start = c.start AND g.stop = c.stop GROUP BY ALL)
 SELECT count(*) AS gold, sum(named)::BIGINT AS named, sum(with_subspans)::BIGINT AS with_subspans, sum(with_pronouns)::BIGINT AS with_pronouns FROM hits""")
 def candidate_recall_nested(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    spans = C.candidate_rows(tokens, KEYS).select(*KEYS, F.col("start").alias("s_start"), F.col("stop").alias("s_end"), "source")
+    spans = C.candidate_rows(A.sentences(spark, sf_dir), KEYS).select(*KEYS, F.col("start").alias("s_start"), F.col("stop").alias("s_end"), "source")
     tiers = [("named", ["NER"]), ("with_subspans", ["NER", "SUBSPAN_TOKEN"]), ("with_pronouns", ["NER", "SUBSPAN_TOKEN", "PRONOUN"])]
-    return EV.nested_recall(_key(_gold_spans(tokens)), _key(spans), "key", tiers)
+    return EV.nested_recall(_key(_golds(spark, sf_dir).drop("token")), _key(spans), "key", tiers)
 
 
 @query(f"""WITH {_GOLD_SPANS} SELECT lower(token) AS word, count(*) AS n FROM gold g WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = g.doc_id AND r.line = g.line AND r.pos = g.pos AND r.start < g.g_end AND r.stop > g.g_start)
 GROUP BY 1 ORDER BY n DESC, word LIMIT 30""")
 def missed_targets(spark, sf_dir):
-    tokens = _tokens(spark, sf_dir)
-    spans = C.capitalised_runs(tokens, KEYS).select(*KEYS, F.col("start").alias("a"), F.col("stop").alias("b"))
-    gold = tokens.where("i % 5 = 0")
-    missed = gold.join(spans, [gold[k] == spans[k] for k in KEYS] + [F.col("a") < F.col("stop"), F.col("b") > F.col("start")], "left_anti")
+    spans = C.capitalised_runs(A.sentences(spark, sf_dir), KEYS).select(*KEYS, F.col("start").alias("a"), F.col("stop").alias("b"))
+    gold = _golds(spark, sf_dir)
+    missed = gold.join(spans, [gold[k] == spans[k] for k in KEYS] + [F.col("a") < F.col("g_end"), F.col("b") > F.col("g_start")], "left_anti")
     return missed.groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(30)
 
 
@@ -136,23 +162,57 @@ def ranking_metrics_with_candidate(spark, sf_dir):
     return EV.ranking_metrics(_ranks(spark, sf_dir), False)
 
 
-def _ranks(spark, sf_dir):
-    return EV.gold_ranks(_ranked(spark, sf_dir).withColumn("hit", F.col("label") == 1), KEYS)
+def _ranks(spark, sf_dir, text=lambda c: F.trim(c)):
+    """The rank of the first candidate whose text is the gold target's, case ignored; null if there is none."""
+
+    def rank(g, o):
+        place = F.array_position(F.transform(o, lambda x: F.lower(text(x["candidate"])) == F.lower(g)), True)
+        return F.array(F.struct(F.nullif(place, F.lit(0)).cast("int").alias("rank")))
 
+    return _ranked(spark, sf_dir, rank)
 
-@query(f"""WITH {CANDIDATES}, best AS (SELECT doc_id, line, pos, gold, candidate AS predicted, source AS ps FROM ranked WHERE rank = 1),
+
+@query(rf"""WITH {CANDIDATES}, same AS (SELECT *, lower(regexp_replace(regexp_replace(candidate, '^[\s"''“”‘’`´]+|[\s"''“”‘’`´]+$', '', 'g'), '\s+', ' ', 'g')) = lower(gold) AS hit FROM ranked),
+r AS (SELECT doc_id, line, pos, min(CASE WHEN hit THEN rank END) AS rank FROM same GROUP BY 1, 2, 3)
+SELECT {_METRICS}, median(rank)::DOUBLE AS median_rank FROM r WHERE rank IS NOT NULL""")
+def ranking_metrics_normalised(spark, sf_dir):
+    """Candidates made anew from the sentences, matched by their normalised text; targets without a candidate do not count."""
+    return EV.ranking_metrics(_ranks(spark, sf_dir, T.normalise_candidate), False)
+
+
+_ERRORS = f"""{CANDIDATES}, best AS (SELECT doc_id, line, pos, gold, candidate AS predicted, source AS ps FROM ranked WHERE rank = 1),
 sources AS (SELECT doc_id, line, pos, candidate AS gold, arg_min(source, rank) AS gs FROM ranked GROUP BY 1, 2, 3, 4),
 pairs AS (SELECT b.*, s.gs, lower(b.gold) AS g, lower(b.predicted) AS p, len({_WORDS("b.gold")}) AS gw, len({_WORDS("b.predicted")}) AS pw FROM best b LEFT JOIN sources s USING (doc_id, line, pos, gold)),
 typed AS (SELECT *, CASE WHEN gold = predicted THEN 'CORRECT' WHEN contains(p, g) AND pw > gw THEN 'LARGER_SPAN' WHEN contains(g, p) AND pw < gw THEN 'SMALLER_SPAN' WHEN rtrim(g, '''s') = rtrim(p, '''s') THEN 'POSSESSIVE_VARIATION'
-  WHEN contains(gs, 'SUBSPAN') AND ps = 'NER' THEN 'NER_VS_SUBSPAN' WHEN contains(gs, 'NER') AND contains(ps, 'SUBSPAN') THEN 'SUBSPAN_VS_NER' WHEN contains(ps, 'COORDINATION') THEN 'COORDINATION_ERROR' ELSE 'OTHER' END AS error FROM pairs)
+  WHEN contains(gs, 'SUBSPAN') AND ps = 'NER' THEN 'NER_VS_SUBSPAN' WHEN contains(gs, 'NER') AND contains(ps, 'SUBSPAN') THEN 'SUBSPAN_VS_NER' WHEN contains(ps, 'COORDINATION') THEN 'COORDINATION_ERROR' ELSE 'OTHER' END AS error FROM pairs)"""
+
+
+@query(f"""WITH {_ERRORS}
 SELECT error, count(*) AS n, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM typed), 4) AS pct FROM typed GROUP BY 1""")
 def ranking_errors(spark, sf_dir):
     from ..operators.marking import breakdown
 
-    ranked = _ranked(spark, sf_dir)
-    sources = ranked.groupBy(*KEYS, F.col("candidate").alias("gold")).agg(F.min_by("source", "rank").alias("gs"))
-    best = ranked.where("rank = 1").select(*KEYS, "gold", F.col("candidate").alias("predicted"), F.col("source").alias("ps")).join(sources, [*KEYS, "gold"], "left")
-    return breakdown(best.select(EV.error_type(F.col("gold"), F.col("predicted"), F.col("gs"), F.col("ps")).alias("error")), "error")
+    return breakdown(_errors(spark, sf_dir).select("error"), "error")
+
+
+def _errors(spark, sf_dir):
+    """The best candidate of each sentence against its gold target."""
+
+    def first(g, o):
+        own = F.get(F.filter(o, lambda x: x["candidate"] == g), F.lit(0))["source"]
+        best = F.get(o, F.lit(0))
+        return F.array(F.struct(g.alias("gold"), best["candidate"].alias("predicted"), own.alias("gs"), best["source"].alias("ps")))
+
+    error = EV.error_type(F.col("gold"), F.col("predicted"), F.col("gs"), F.col("ps"))
+    return _ranked(spark, sf_dir, first).withColumn("error", error)
+
+
+@query(f"""WITH {_ERRORS} SELECT error, n::INTEGER AS n, doc_id, line, pos, gold, predicted
+FROM (SELECT *, row_number() OVER (PARTITION BY error ORDER BY doc_id, line, pos) AS n FROM typed WHERE error <> 'CORRECT') WHERE n <= 10""")
+def ranking_error_samples(spark, sf_dir):
+    """The first ten errors of each kind."""
+    wrong = _errors(spark, sf_dir).where("error <> 'CORRECT'")
+    return EV.first_of_each(wrong, "error", KEYS, 10).select("error", "n", *KEYS, "gold", "predicted")
 
 
 @query(f"WITH {CANDIDATES} SELECT doc_id, line, pos, rank FROM ranks WHERE rank IS NOT NULL ORDER BY rank DESC, doc_id, line, pos LIMIT 10")
