@@ -125,12 +125,25 @@ def test_tfidf_classifier(spark):
     assert model.transform(df).where("prediction <> y").count() == 0
 
 
-def test_model_scorer_loads_once_a_task(spark):
+def test_a_model_plugs_into_predict(spark):
     from tonefield.operators.sentiment import model_scorer
 
-    rows = spark.createDataFrame([("a [TARGET] b [/TARGET]",)], "marked string")
-    got = model_scorer(lambda: lambda texts: [(0.1, 0.2, 0.7)] * len(texts))(rows).first()
-    assert (got["Negative"], got["Neutral"], got["Positive"]) == (0.1, 0.2, 0.7)
+    rows = spark.createDataFrame([("a met b", "b"), ("a met b", "c"), ("a met b", "a")], "sentence string, target_text string")
+    model = lambda texts: [(0.1, 0.2, 0.7) if x.startswith("[TARGET] a") else (0.6, 0.3, 0.1) for x in texts]
+    got = {r["target_text"]: (r["sentiment"], r["sentiment_confidence"], r["error"]) for r in predict(rows, model_scorer(lambda: model)).collect()}
+    assert got == {"b": ("Negative", 0.6, None), "a": ("Positive", 0.7, None), "c": (None, None, "target not found in sentence")}
+
+
+def test_tokens_of_long_sentences(spark):
+    words = [f"w{k}" if k % 7 else f"(W{k}," for k in range(1000)]
+    s = " ".join(words)
+    got = [tuple(r)[1:] for r in candidates.tokens(spark.createDataFrame([(1, s), (2, "")], "k int, sentence string"), ["k"]).orderBy("i").collect()]
+    want, at = [], 0
+    for k, w in enumerate(words):
+        t = w.strip("(,")
+        want.append((k, t, at + w.index(t), at + w.index(t) + len(t)))
+        at += len(w) + 1
+    assert got == want
 
 
 def test_near_duplicates_documents_equals_brute_force(spark, tmp_path):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from tonefield.functions import text as T
 from tonefield.operators import entities as E
 from tonefield.operators import evaluate as EV
-from tonefield.operators import extract, marking, references
+from tonefield.operators import marking, references
 from tonefield.sources.readers import group_articles, parse_gid
 
 
@@ -14,7 +14,7 @@ def one(spark, value, f):
 
 @pytest.mark.parametrize("raw, want", [("Paul Ryan ( )", "Paul Ryan"), ("the first Indian American (", "the first Indian American"), ("James O'Keefe's — —", "James O'Keefe's"), ("the chairman ”", "the chairman"), ("'Reid Rule'", "'Reid Rule'"), ("(a) b", "(a) b"), ("", ""), ("— (", "")])
 def test_clean_edges(spark, raw, want):
-    assert one(spark, raw, T.clean_edges) == want == extract.clean(raw)
+    assert one(spark, raw, T.clean_edges) == want == T.cleaned(raw)
 
 
 @pytest.mark.parametrize("raw, want", [("“President Trump", "President Trump"), ('Powell,"', "Powell,"), ("  a   b ", "a b")])

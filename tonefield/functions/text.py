@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,35 +73,39 @@ def normalise_candidate(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), f"^{edge}|{edge}$", ""), r"\s+", " ")
 
 
-def _tail(t: Column) -> Column:
-    return F.substring(t, 2, 2**31 - 1)
-
-
-def _head(t: Column) -> Column:
-    return F.substring(t, F.lit(1), F.greatest(F.length(t) - 1, F.lit(0)))
+def _unpaired(edge: str, other: str) -> tuple[tuple[str, bool], tuple[str, bool]]:
+    """Rules for a character at the start, and at the end, whose counterpart is nowhere else."""
+    return (rf"^{edge}\s*([^{other}]*)$", True), (rf"^([^{other}]*?)\s*{edge}$", True)
 
 
-def _drop(at_start: bool, edge: str, needs: str):
-    """Step: an edge character goes if its counterpart is nowhere else in the text."""
-    if at_start:
-        return lambda t: F.when(t.startswith(edge) & ~F.contains(_tail(t), F.lit(needs)), F.ltrim(_tail(t))).otherwise(t)
-    return lambda t: F.when(t.endswith(edge) & ~F.contains(_head(t), F.lit(needs)), F.rtrim(_head(t))).otherwise(t)
+def _edge_rules() -> list[tuple[str, bool]]:
+    """(pattern, whether its group stays), one after another, for Java's and Python's matcher alike: empty parentheses go, then halves of pairs,
+    then a quote on one side only, then dashes and separators."""
+    out = [(r"\(\s*\)", False)]
+    for a, b in ((r"\(", r"\)"), ("“", "”")):
+        (a_first, a_last), (b_first, b_last) = _unpaired(a, b), _unpaired(b, a)
+        out += [a_first, b_last, a_last, b_first]
+    for q in ("'", '"'):
+        out += [(rf"^{q}\s*((?s:.*)[^{q}])$", True), (rf"^([^{q}](?s:.*?))\s*{q}$", True)]
+    return [*out, (r"^[\s—–\-:;,]+|[\s—–\-:;,]+$", False)]
 
 
-def _drop_single(q: str):
-    return lambda t: F.when(t.startswith(q) & ~t.endswith(q), F.ltrim(_tail(t))).when(t.endswith(q) & ~t.startswith(q), F.rtrim(_head(t))).otherwise(t)
+EDGE_RULES = _edge_rules()
 
 
 def clean_edges(c: Column | str) -> Column:
-    """Orphaned punctuation at the ends goes: empty parentheses, one half of a pair, a quote on one side, then dashes and
-    separators. The order of the steps matters."""
-    t = strip(F.regexp_replace(col(c), r"\(\s*\)", ""))
-    for a, b in (("(", ")"), ("“", "”")):
-        for step in (_drop(True, a, b), _drop(False, b, a), _drop(False, a, b), _drop(True, b, a)):
-            t = let(t, step)
-    for q in ("'", '"'):
-        t = let(t, _drop_single(q))
-    return strip(F.regexp_replace(t, r"^[\s—–\-:;,]+|[\s—–\-:;,]+$", ""))
+    """Orphaned punctuation at the ends goes, by EDGE_RULES."""
+    t = col(c)
+    for pattern, stays in EDGE_RULES:
+        t = strip(F.regexp_replace(t, pattern, "$1" if stays else ""))
+    return t
+
+
+def cleaned(text: str) -> str:
+    """clean_edges for a string."""
+    for pattern, stays in EDGE_RULES:
+        text = re.sub(pattern, r"\1" if stays else "", text).strip()
+    return text
 
 
 def netloc(url: Column | str) -> Column:

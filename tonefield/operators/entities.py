@@ -1,7 +1,6 @@
 """Entity analytics over fact rows: canonical entities, alias merging, leaderboards, trends and outlet framing.
 
-Every aggregate is partial before it shuffles; alias merging works on the distinct keys alone, and its mapping is joined
-without a hint, so adaptive execution decides by its measured size.
+Every aggregate is partial before it shuffles; facts are read once, and alias merging works on the aggregates by key alone.
 """
 
 from __future__ import annotations
@@ -31,15 +30,25 @@ def usable(facts: DataFrame) -> DataFrame:
     return with_entities(facts).where(F.col("sentiment").isin(*V.SENTIMENTS) & F.col("key").isNotNull())
 
 
+def with_merged(keyed: DataFrame) -> DataFrame:
+    """keyed (key, more), a row a key -> key, merged, more. A key of two words or more, unless it begins with an institutional modifier, goes to its
+    shortest proper suffix that is a key itself, others to themselves.
+
+    Each key stands once under itself and once under every proper suffix; a suffix is a key if some key stands there under itself. So the
+    keys are read once and never joined with themselves."""
+    more = [c for c in keyed.columns if c != "key"]
+    words, none = F.split("key", " "), F.array().cast("array<struct<suffix:string,n:int,own:boolean>>")
+    part = lambda w, n, own: F.struct(F.array_join(F.slice(w, F.size(w) - n + 1, n), " ").alias("suffix"), n.alias("n"), F.lit(own).alias("own"))
+    folds = lambda w: (F.size(w) > 1) & ~F.get(w, F.lit(0)).isin(*V.INSTITUTIONAL_MODIFIERS)
+    parts = T.let(words, lambda w: F.concat(F.array(part(w, F.size(w), True)), F.when(folds(w), F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda n: part(w, n, False))).otherwise(none)))
+    rows = keyed.select("*", F.explode_outer(parts).alias("x")).select("key", "x.suffix", "x.n", *[F.when(F.col("x.own"), F.col(c)).alias(c) for c in more], "x.own")
+    there = rows.withColumn("there", F.max("own").over(W.partitionBy("suffix"))).where("there")
+    return there.groupBy("key").agg(F.min_by("suffix", "n").alias("merged"), *[F.first(c, ignorenulls=True).alias(c) for c in more])
+
+
 def alias_mapping(keys: DataFrame) -> DataFrame:
-    """keys (key) -> (key, merged): a key of two words or more, unless it begins with an institutional modifier, goes to its shortest
-    proper suffix that is a key itself. Suffixes are exploded, so this is an equi-join."""
-    keys = keys.select("key").where(F.col("key").isNotNull()).distinct()
-    parts = keys.withColumn("w", F.split("key", " ")).where((F.size("w") > 1) & ~F.get("w", F.lit(0)).isin(*V.INSTITUTIONAL_MODIFIERS))
-    suffix = parts.select("key", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("n"), "w")
-    suffix = suffix.select("key", "n", F.array_join(F.slice("w", F.size("w") - F.col("n") + 1, F.col("n")), " ").alias("suffix"))
-    found = suffix.join(keys.withColumnRenamed("key", "suffix"), "suffix").groupBy("key").agg(F.min_by("suffix", "n").alias("merged"))
-    return keys.join(found, "key", "left").select("key", F.coalesce("merged", "key").alias("merged"))
+    """keys (key) -> (key, merged)."""
+    return with_merged(keys.select("key").where(F.col("key").isNotNull()).distinct())
 
 
 def label_counts() -> list[Column]:
@@ -50,19 +59,24 @@ def percentages(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{s.lower()}_pct": F.round(100.0 * F.col(s.lower()) / F.col("total"), 4) for s in V.SENTIMENTS})
 
 
-def merged_facts(facts: DataFrame) -> DataFrame:
-    rows = usable(facts)
-    return rows.join(alias_mapping(rows), "key")
+def merged_counts(facts: DataFrame, *by: str) -> DataFrame:
+    """merged, by..., counts by label, total: facts are read once and aggregated by their own keys; aliases are merged on these
+    aggregates, packed to a row a key, and added up again."""
+    names = [s.lower() for s in V.SENTIMENTS] + ["total"]
+    packed = facts.groupBy("key", *by).agg(*label_counts()).groupBy("key").agg(F.collect_list(F.struct(*by, *names)).alias("counts"))  # as many as days or outlets
+    rows = with_merged(packed).select("merged", F.explode_outer("counts").alias("c")).select("merged", "c.*")
+    return rows.groupBy("merged", *by).agg(*[F.sum(n).alias(n) for n in names])
 
 
 def leaderboard(facts: DataFrame, min_mentions: int = 3, top: int | None = 20) -> DataFrame:
     """Counts, confidence and shares by merged entity; the mention floor applies after merging. The name shown is the last one
     seen under the surviving key."""
-    own = F.col("key") == F.col("merged")
-    agg = merged_facts(facts).groupBy("merged").agg(
-        F.max_by(F.when(own, F.col("entity")), F.when(own, F.col("row_id"))).alias("entity"), *label_counts(), F.round(F.avg(F.coalesce("sentiment_confidence", F.lit(0.0))), 6).alias("avg_confidence")
-    )
-    out = percentages(agg.where(F.col("total") >= min_mentions))
+    names = [s.lower() for s in V.SENTIMENTS] + ["total", "confidence"]
+    keyed = usable(facts).groupBy("key").agg(F.max_by("entity", "row_id").alias("entity"), *label_counts(), F.sum(F.coalesce("sentiment_confidence", F.lit(0.0))).alias("confidence"))
+    own = F.when(F.col("key") == F.col("merged"), F.col("entity"))
+    agg = with_merged(keyed).groupBy("merged").agg(F.max(own).alias("entity"), *[F.sum(n).alias(n) for n in names])
+    agg = agg.where(F.col("total") >= min_mentions).withColumn("avg_confidence", F.round(F.col("confidence") / F.col("total"), 6)).drop("confidence")
+    out = percentages(agg)
     return out.orderBy(F.desc("total"), "merged").limit(top) if top else out
 
 
@@ -73,8 +87,7 @@ def skip_counters(facts: DataFrame) -> DataFrame:
 
 def daily(facts: DataFrame) -> DataFrame:
     """Counts by merged entity and day; rows without a whole date go."""
-    rows = merged_facts(facts).withColumn("day", T.day("fetched_at")).where("day IS NOT NULL")
-    return percentages(rows.groupBy("merged", "day").agg(*label_counts()))
+    return percentages(merged_counts(usable(facts).withColumn("day", T.day("fetched_at")), "day").where("day IS NOT NULL"))
 
 
 def multi_day(facts: DataFrame, min_mentions: int = 2) -> DataFrame:
@@ -117,7 +130,7 @@ def outlet_name(url: Column | str) -> Column:
 
 
 def outlet_counts(facts: DataFrame) -> DataFrame:
-    return percentages(merged_facts(facts).withColumn("outlet", outlet_name("feed_url")).groupBy("merged", "outlet").agg(*label_counts()))
+    return percentages(merged_counts(usable(facts).withColumn("outlet", outlet_name("feed_url")), "outlet"))
 
 
 def comparable(counts: DataFrame, min_mentions: int = 3) -> DataFrame:

@@ -133,8 +133,8 @@ pairs AS (SELECT merged, max(CASE WHEN r = 1 THEN outlet END) AS outlet_a, max(C
 SELECT merged, outlet_a, outlet_b, round(g, 4) AS gap, CASE WHEN abs(g) < 5 THEN 'similar' WHEN g > 0 THEN outlet_a || ' is more negative' ELSE outlet_b || ' is more negative' END AS verdict FROM pairs""")
 def framing_gap(spark, sf_dir):
     """Two outlets: hosts under com, and all others."""
-    facts = E.merged_facts(A.mentions(spark, sf_dir)).withColumn("outlet", F.when(T.netloc("feed_url").endswith("com"), "COM").otherwise("NET"))
-    return E.framing_gap(E.percentages(facts.groupBy("merged", "outlet").agg(*E.label_counts())))
+    facts = E.usable(A.mentions(spark, sf_dir)).withColumn("outlet", F.when(T.netloc("feed_url").endswith("com"), "COM").otherwise("NET"))
+    return E.framing_gap(E.percentages(E.merged_counts(facts, "outlet")))
 
 @query(f"WITH {USABLE} SELECT key, count(*) AS n FROM usable WHERE key = 'ring' OR ends_with(key, ' ring') GROUP BY key")
 def entity_variants(spark, sf_dir):

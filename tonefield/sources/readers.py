@@ -74,6 +74,11 @@ def flat_targets(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("sentence", F.col("t.mention").alias("target"), F.col("t.from").alias("target_from"), F.col("t.to").alias("target_to"), "t.polarity")
 
 
+def projected(flat: DataFrame, columns: list[str]) -> DataFrame:
+    """Annotated targets by sentence alone, with the target, or with the polarity too."""
+    return flat.select(*columns)
+
+
 def candidates_csv(spark: SparkSession, path: str) -> DataFrame:
     """Only an empty field is null; words such as NA or None stay text."""
     return spark.read.schema(CANDIDATE).option("header", True).option("nullValue", "").csv(path)

@@ -3,11 +3,27 @@
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def working_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir; it goes when the application ends. Without that setting a local
+    session gets one below /tmp, and a cluster an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file:///tmp/tonefield-work"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/files-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
+
+
 def append_facts(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("fetched_date").parquet(path)
 

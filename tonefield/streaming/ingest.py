@@ -6,7 +6,7 @@ wrote before: exactly once, where marking URLs after writing would repeat an art
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -28,25 +28,33 @@ def once(facts: DataFrame, delay: str = "1 day") -> DataFrame:
     return with_time(facts).withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["article_url", "sentence", "target_text"])
 
 
+#: Parts of the table of seen URLs; a batch reads those that its own URLs fall in.
+SEEN_PARTS = 256
+SEEN = "url string, batch_id long, part int"
+
+
+def seen_part(url: str) -> Column:
+    return F.pmod(F.xxhash64(url), F.lit(SEEN_PARTS)).cast("int")
+
+
 def unseen(batch: DataFrame, seen: DataFrame) -> DataFrame:
-    return batch.join(seen.select(F.col("url").alias("article_url")).distinct(), "article_url", "left_anti")
+    return batch.join(seen.select(F.col("url").alias("article_url")), "article_url", "left_anti")
 
 
 def ingest(facts: DataFrame, out: str, checkpoint: str, force: bool = False) -> StreamingQuery:
     """Appends facts of articles not seen in earlier batches; force takes them again, and still notes their URLs."""
+    spark = facts.sparkSession
+    spark.createDataFrame([], "url string").write.mode("ignore").parquet(f"{out}/seen/batch_id=-1/part=0")  # so that the table is there
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         rows = batch.withColumn("fetched_date", T.day("fetched_at"))
         if not force:
-            try:
-                seen = spark.read.parquet(f"{out}/seen").where(F.col("batch_id") < batch_id)
-                rows = unseen(rows, seen)
-            except Exception as e:  # the first batch has no table yet
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
+            parts = [r[0] for r in batch.select(seen_part("article_url")).distinct().collect()]  # at most SEEN_PARTS numbers
+            seen = batch.sparkSession.read.schema(SEEN).parquet(f"{out}/seen").where((F.col("batch_id") < batch_id) & F.col("part").isin(parts))
+            rows = unseen(rows, seen)
         rows.write.mode("overwrite").partitionBy("fetched_date").parquet(f"{out}/facts/batch_id={batch_id}")
-        rows.select(F.col("article_url").alias("url")).distinct().write.mode("overwrite").parquet(f"{out}/seen/batch_id={batch_id}")
+        urls = rows.select(F.col("article_url").alias("url")).distinct().withColumn("part", seen_part("url"))
+        urls.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/seen/batch_id={batch_id}")
 
     return facts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
