@@ -189,6 +189,13 @@ def test_warc_round_trip(spark):
     assert warc.read(empty, folder).count() == 0
 
 
+def test_warc_null_ids_and_clashing_columns(spark, tmp_path):
+    pages = spark.createDataFrame([(None, "u", "p", 1), (1, "u", "p", 2), (2, "v", "p", 3), (None, None, None, 4)], "page_id long, url string, html string, refers_to int")
+    folder = f"file://{tmp_path}"
+    got = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in warc.read(warc.write(warc.decided(pages), folder), folder).collect())
+    assert got == [(0, "response", None), (0, "revisit", 2), (1, "revisit", 2), (2, "response", None)]
+
+
 def test_bundles_are_seekable():
     import zstandard
 

@@ -1,7 +1,8 @@
 """Operator 10: byte-level BPE encoding and decoding by backtracking over longest matches.
 
 Empty cases: null and empty text have no ids and decode to no bytes; other columns of the input never meet the
-operator's own names, since it takes only the columns it is told. Repeated rows each keep a row.
+operator's own names, since it takes only the columns it is told. Repeated rows each keep a row, null ids too; an empty table gives none. Texts of
+any length are encoded whole, in time linear in their words. There are no ties: every text has one encoding.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ def _encoder(path: str, pattern: str):
     import itertools
 
     c = codec(path, pattern)
+
     def encode(texts):
         return [[r for w in c.split.findall(t) for r in c.encode_word(w.encode("utf-8", "surrogatepass"))] for t in texts]
 

@@ -9,7 +9,9 @@ revisit it. Bundles go to the shared folder under names that no other attempt us
 manifest count, so lost or repeated tasks do no harm.
 
 Empty cases: null html is an empty payload, a null url an empty target. Rows with the same id are archived each; those
-that equal the kept one in id and payload are responses too.
+that equal the kept one in id and payload are responses too. A null id is archived under none, and nothing refers to it. Payloads of any
+length are one record in a frame of its own. An empty table makes no bundle. Other columns never meet the operator's names, since it takes only
+page_id, url and html.
 """
 
 from __future__ import annotations
@@ -127,11 +129,15 @@ MANIFEST = "page_id long, bundle string, frame int, frame_at long, frame_bytes l
 
 
 def decided(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """page_id, url, html (never null), refers_to. Only payloads that occur more than once are joined back."""
+    """page_id, url, html (never null), refers_to. Who revisits whom is decided on ids and digests alone; pages are then joined by (id, digest) to
+    the revisits, so that copies of one payload do not meet in one task."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     own = own.withColumns({"sha": F.unhex(F.sha1(F.col("html").cast("binary"))), "size": F.octet_length("html")})
-    shared = own.where(F.col("size") >= min_payload).groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
-    return own.join(shared, "sha", "left").select("page_id", "url", "html", F.expr("nullif(keeper, page_id)").alias("refers_to"))
+    ids = common.materialize(own.where(F.col("size") >= min_payload).select("page_id", "sha"))
+    shared = ids.groupBy("sha").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("sha", "keeper")
+    revisits = ids.join(shared, "sha").where("NOT page_id <=> keeper").distinct().select("page_id", "sha", F.col("keeper").alias("refers_to"))
+    same = F.col("o.page_id").eqNullSafe(F.col("r.page_id")) & (F.col("o.sha") == F.col("r.sha"))
+    return own.alias("o").join(revisits.alias("r"), same, "left").select("o.page_id", "url", "html", "refers_to")
 
 
 def write(rows: DataFrame, folder: str) -> DataFrame:
@@ -201,6 +207,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bundles go with the application; `write` into a folder of one's own keeps them."""
     folder = common.shared_dir(spark)
     manifest = write(decided(common.table(spark, sf_dir, "pages")), folder)
     return read(manifest, folder).drop("body")
