@@ -1,127 +1,143 @@
 """Target candidates from tokens, and their features' statistics.
 
-Everything up to a sentence's candidates is worked out inside its row, in arrays, so nothing is shuffled before rows are counted or joined.
-Without a parser, capitalised runs stand for named entities.
+Everything up to a sentence's candidates is worked out inside its row by a kernel over Arrow batches: one pass along the words, linear in the sentence's
+length, and nothing is shuffled before rows are counted or joined. (The same as array expressions took nearly three times the time: offsets and runs
+depend on what stands before, which higher-order functions can only look up again.) Without a parser, capitalised runs stand for named entities.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vocab as V
 
-#: In a sentence of more than _SHORT words, places are found from those of groups of words, so that work stays linear in its length.
-_GROUP, _SHORT = 64, 256
-
-
-def token_array(sentence: Column) -> Column:
-    """Array of (i, token, start, stop, title, title_start): words between blanks without their outer punctuation, with 0-based offsets, and the
-    token before. i counts all words between blanks."""
-
-    def joined_before(pieces: Column, n: Column) -> Column:
-        return F.when(n == 0, 0).otherwise(F.length(F.array_join(F.slice(pieces, F.lit(1), n), " ")) + 1)
-
-    def placed(pieces: Column) -> Column:
-        def group(g: Column) -> Column:
-            own = F.struct(F.slice(pieces, g * _GROUP + 1, F.lit(_GROUP)).alias("words"), joined_before(pieces, g * _GROUP).alias("at"))
-            word = lambda o: lambda x, j: F.struct((g * _GROUP + j).alias("i"), x.alias("raw"), (o["at"] + joined_before(o["words"], j)).alias("at"))
-            return T.let(own, lambda o: F.transform(o["words"], word(o)))
-
-        last = F.floor((F.size(pieces) - 1) / _GROUP).cast("int")
-        grouped = F.flatten(F.transform(F.sequence(F.lit(0), last), group))
-        near = lambda x, j: F.struct(j.alias("i"), x.alias("raw"), F.when(j == 0, 0).otherwise(F.length(F.call_function("substring_index", sentence, F.lit(" "), j)) + 1).alias("at"))
-        return F.when(F.size(pieces) <= _SHORT, F.transform(pieces, near)).otherwise(grouped)
-
-    edge = F.lit(V.EDGE_PUNCTUATION)
-    trimmed = lambda x: F.struct(x["i"].alias("i"), F.btrim(x["raw"], edge).alias("token"), (x["at"] + F.length(x["raw"]) - F.length(F.ltrim(x["raw"], edge))).alias("start"))
-
-    def with_title(t: Column) -> Column:
-        def one(x: Column, k: Column) -> Column:
-            before = F.get(t, k - 1)
-            return F.struct(x["i"].alias("i"), x["token"].alias("token"), x["start"].alias("start"), (x["start"] + F.length(x["token"])).alias("stop"), before["token"].alias("title"), before["start"].alias("title_start"))
-
-        return F.transform(t, one)
-
-    words = T.let(F.split(sentence, " ", -1), placed)
-    return T.let(F.filter(F.transform(words, trimmed), lambda x: x["token"] != ""), with_title)
-
+_PRONOUNS, _HONORIFICS = frozenset(V.RANKER_PRONOUNS), frozenset(V.HONORIFICS)
+_EDGE, _GAP = re.compile("^[\\s\"'“”‘’`´]+|[\\s\"'“”‘’`´]+$", re.A), re.compile(r"\s+", re.A)
 
-def run_array(tokens_: Column) -> Column:
-    """Array of (start, stop, title, title_start): maximal runs of neighbouring capitalised tokens."""
 
-    def runs(caps: Column) -> Column:
-        apart = lambda a, b: ~F.coalesce(a["i"] + 1 == b["i"], F.lit(False))
-        first = F.filter(caps, lambda x, k: apart(F.get(caps, k - 1), x))
-        last = F.filter(caps, lambda x, k: apart(x, F.get(caps, k + 1)))
-        return F.zip_with(first, last, lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop"), a["title"].alias("title"), a["title_start"].alias("title_start")))
+def token_list(sentence: str) -> list[tuple[int, str, int, int]]:
+    """(i, token, start, stop): words between blanks without their outer punctuation, with 0-based offsets. i counts all words between blanks."""
+    out, at = [], 0
+    for i, raw in enumerate(sentence.split(" ")):
+        token = raw.strip(V.EDGE_PUNCTUATION)
+        if token:
+            start = at + len(raw) - len(raw.lstrip(V.EDGE_PUNCTUATION))
+            out.append((i, token, start, start + len(token)))
+        at += len(raw) + 1
+    return out
 
-    return T.let(F.filter(tokens_, lambda t: T.capitalised(t["token"])), runs)
 
+def _capitalised(token: str) -> bool:
+    return token[0] == token[0].upper() != token[0].lower()
 
-def _inner(tokens_: Column) -> Column:
-    """Capitalised tokens with a capitalised neighbour."""
 
-    def within(caps: Column) -> Column:
-        next_to = lambda a, b: F.coalesce(a["i"] + 1 == b["i"], F.lit(False))
-        return F.filter(caps, lambda x, k: next_to(F.get(caps, k - 1), x) | next_to(x, F.get(caps, k + 1)))
+def run_list(tokens_: list[tuple[int, str, int, int]]) -> list[list[int]]:
+    """Maximal runs of neighbouring capitalised tokens: their places in the list."""
+    out: list[list[int]] = []
+    for k, (i, token, _, _) in enumerate(tokens_):
+        if _capitalised(token):
+            if out and tokens_[out[-1][-1]][0] + 1 == i:
+                out[-1].append(k)
+            else:
+                out.append([k])
+    return out
 
-    return T.let(F.filter(tokens_, lambda t: T.capitalised(t["token"])), within)
 
-
-def candidate_array(sentence: Column, tokens_: Column, runs: Column) -> Column:
-    """Array of (start, stop, candidate, gen, source) in this order: named runs and their normalised forms, single capitalised tokens inside longer
+def candidate_list(sentence: str, tokens_: list[tuple[int, str, int, int]]) -> list[tuple[int, int, str, str]]:
+    """(start, stop, candidate, source) in this order: named runs and their normalised forms, single capitalised tokens inside longer
     runs, pronouns, title expansions. The first source in this order keeps a span."""
-
-    def made(start: Column, stop: Column, text: Column, gen: int, source: str) -> Column:
-        return F.struct(start.cast("int").alias("start"), stop.cast("int").alias("stop"), text.alias("candidate"), F.lit(gen).alias("gen"), F.lit(source).alias("source"))
-
-    cut = lambda a, b: F.substring(sentence, a + 1, b - a)
-    base = F.transform(runs, lambda r: made(r["start"], r["stop"], cut(r["start"], r["stop"]), 0, "NER"))
-
-    def normalised(r: Column) -> Column:
-        text = T.normalise_candidate(cut(r["start"], r["stop"]))
-        at = lambda n: F.position(n, sentence) - 1
-        return T.let(text, lambda n: F.when((n != cut(r["start"], r["stop"])) & (n != "") & (at(n) >= 0), made(at(n), at(n) + F.length(n), n, 1, "NER_NORMALIZED")))
-
-    norm = F.filter(F.transform(runs, normalised), lambda x: x.isNotNull())
-    of = lambda gen, source: lambda t: made(t["start"], t["stop"], t["token"], gen, source)
-    sub = F.transform(_inner(tokens_), of(2, "SUBSPAN_TOKEN"))
-    pron = F.transform(F.filter(tokens_, lambda t: F.lower(t["token"]).isin(*V.RANKER_PRONOUNS)), of(3, "PRONOUN"))
-    led = F.filter(runs, lambda r: F.coalesce(F.lower(r["title"]).isin(*V.HONORIFICS), F.lit(False)))
-    titled = F.transform(led, lambda r: made(r["title_start"], r["stop"], cut(r["title_start"], r["stop"]), 4, "TITLE_EXPANSION"))
-    span = lambda x: F.struct(x["start"], x["stop"], x["candidate"])
-    first = lambda every: F.filter(every, lambda x, k: ~F.coalesce(span(F.get(every, k - 1)) == span(x), F.lit(False)))
-    return T.let(F.sort_array(F.filter(F.concat(base, norm, sub, pron, titled), lambda x: (x["start"] >= 0) & (x["stop"] > x["start"]))), first)
-
-
-def per_sentence(sentences: DataFrame, keys: list[str], then, column: str = "sentence") -> DataFrame:
-    """then(sentence, tokens, runs, candidates) -> an array of structs; keys and the structs' fields, a row an element.
-
-    Each part is bound once, and the array is exploded as it is: a filter on it, or a reference to a column from inside a lambda, would
-    have the optimizer work it out again, for every row or every element.
-    """
-    found = T.let(F.col(column), lambda s: T.let(token_array(s), lambda t: T.let(run_array(t), lambda r: T.let(candidate_array(s, t, r), lambda c: then(s, t, r, c)))))
-    return sentences.select(*keys, F.explode_outer(found).alias("x")).where("x IS NOT NULL").select(*keys, "x.*")
+    first: dict[tuple[int, int, str], str] = {}
+    runs = run_list(tokens_)
+    spans = [(tokens_[r[0]][2], tokens_[r[-1]][3]) for r in runs]
+    for a, b in spans:
+        first[a, b, sentence[a:b]] = "NER"
+    for a, b in spans:
+        text = _GAP.sub(" ", _EDGE.sub("", sentence[a:b]))
+        if text and text != sentence[a:b] and (at := sentence.find(text)) >= 0:
+            first.setdefault((at, at + len(text), text), "NER_NORMALIZED")
+    for r in runs:
+        for k in r if len(r) > 1 else ():
+            first.setdefault((tokens_[k][2], tokens_[k][3], tokens_[k][1]), "SUBSPAN_TOKEN")
+    for _, token, a, b in tokens_:
+        if token.lower() in _PRONOUNS:
+            first.setdefault((a, b, token), "PRONOUN")
+    for r, (_, b) in zip(runs, spans, strict=True):
+        if r[0] and tokens_[r[0] - 1][1].lower() in _HONORIFICS:
+            a = tokens_[r[0] - 1][2]
+            first.setdefault((a, b, sentence[a:b]), "TITLE_EXPANSION")
+    return sorted((*span, source) for span, source in first.items())
+
+
+def _flat(sentences: DataFrame, keys: list[str], rows_of: Callable, schema: str, column: str) -> DataFrame:
+    """keys and what rows_of(sentence) gives, a row each."""
+    kinds = ", ".join(f"`{k}` {sentences.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = {"int": pa.int32(), "string": pa.string()}
+        fields = [x.split() for x in schema.split(", ")]
+        for batch in batches:
+            at, rows = [], []
+            for k, sentence in enumerate(batch.column(len(keys)).to_pylist()):
+                found = rows_of(sentence or "")
+                rows += found
+                at += [k] * len(found)
+            index = pa.array(at, pa.int64())
+            made = [pa.array([r[j] for r in rows], kind[t]) for j, (_, t) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([batch.column(j).take(index) for j in range(len(keys))] + made, names=[*keys, *[n for n, _ in fields]])
+
+    return sentences.select(*keys, column).mapInArrow(run, f"{kinds}, {schema}")
 
 
 def tokens(sentences: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
     """(keys, i, token, start, stop)."""
-    rows = sentences.select(*keys, F.explode_outer(T.let(F.col(column), token_array)).alias("t")).where("t IS NOT NULL")
-    return rows.select(*keys, "t.i", "t.token", "t.start", "t.stop")
+    return _flat(sentences, keys, token_list, "i int, token string, start int, stop int", column)
 
 
 def capitalised_runs(sentences: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
     """(keys, start, stop)."""
-    found = T.let(F.col(column), lambda s: T.let(token_array(s), run_array))
-    rows = sentences.select(*keys, F.explode_outer(found).alias("r")).where("r IS NOT NULL")
-    return rows.select(*keys, "r.start", "r.stop")
+
+    def rows_of(sentence: str):
+        t = token_list(sentence)
+        return [(t[r[0]][2], t[r[-1]][3]) for r in run_list(t)]
+
+    return _flat(sentences, keys, rows_of, "start int, stop int", column)
 
 
 def candidate_rows(sentences: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
     """(keys, candidate, start, stop, source)."""
-    return per_sentence(sentences, keys, lambda s, t, r, c: c, column).drop("gen")
+    return _flat(sentences, keys, lambda s: candidate_list(s, token_list(s)), "start int, stop int, candidate string, source string", column)
+
+
+def with_candidates(sentences: DataFrame, keys: list[str], column: str = "sentence") -> DataFrame:
+    """keys, sentence, first (its first token), candidates (array of start, stop, candidate, source): a row a sentence that has a candidate."""
+    kinds = ", ".join(f"`{k}` {sentences.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at, first, ends, rows = [], [], [0], []
+            for k, sentence in enumerate(batch.column(len(keys)).to_pylist()):
+                t = token_list(sentence or "")
+                found = candidate_list(sentence, t) if t else []
+                if found:
+                    at.append(k)
+                    first.append(t[0][1])
+                    rows += found
+                    ends.append(len(rows))
+            index = pa.array(at, pa.int64())
+            kind = (pa.int32(), pa.int32(), pa.string(), pa.string())
+            item = pa.StructArray.from_arrays([pa.array([r[j] for r in rows], x) for j, x in enumerate(kind)], names=["start", "stop", "candidate", "source"])
+            yield pa.RecordBatch.from_arrays([c.take(index) for c in batch.columns] + [pa.array(first, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), item)], names=[*keys, column, "first", "candidates"])
+
+    return sentences.select(*keys, column).mapInArrow(run, f"{kinds}, `{column}` string, first string, candidates array<struct<start:int,stop:int,candidate:string,source:string>>")
 
 
 def count_stats(counts: DataFrame) -> DataFrame:

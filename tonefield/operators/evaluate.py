@@ -85,13 +85,13 @@ def tier_summary(rows: DataFrame) -> DataFrame:
 
 
 def span_match(gold: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """gold (key, g_start, g_end), spans (key, s_start, s_end): exact, partial or missed for each gold span. The overlap is a theta
-    condition under an equi-join on key."""
-    meets = (F.col("s_start") < F.col("g_end")) & (F.col("s_end") > F.col("g_start"))
-    same = (F.col("s_start") == F.col("g_start")) & (F.col("s_end") == F.col("g_end"))
-    hits = gold.join(spans, key).where(meets).groupBy(key, "g_start", "g_end").agg(F.max(F.when(same, 2).otherwise(1)).alias("best"))
-    out = gold.join(hits, [key, "g_start", "g_end"], "left")
-    return out.select(key, "g_start", "g_end", F.when(F.col("best") == 2, "exact").when(F.col("best") == 1, "partial").otherwise("missed").alias("match"))
+    """gold (key, g_start, g_end), spans (key, s_start, s_end): exact, partial or missed for each gold span. A key's spans (a sentence's) are gathered and
+    joined once; the overlap is judged inside the row."""
+    own = spans.groupBy(key).agg(F.collect_list(F.struct("s_start", "s_end")).alias("spans"))
+    both = gold.join(own, key, "left")
+    same = F.exists("spans", lambda s: (s["s_start"] == F.col("g_start")) & (s["s_end"] == F.col("g_end")))
+    meets = F.exists("spans", lambda s: (s["s_start"] < F.col("g_end")) & (s["s_end"] > F.col("g_start")))
+    return both.select(key, "g_start", "g_end", F.when(same, "exact").when(meets, "partial").otherwise("missed").alias("match"))
 
 
 def nested_recall(gold: DataFrame, spans: DataFrame, key: str, tiers: list[tuple[str, list[str]]]) -> DataFrame:

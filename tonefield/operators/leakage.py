@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.sinks import written
+
 
 def overlap(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct values in both."""
@@ -40,9 +42,30 @@ def tfidf(docs: DataFrame, key: str, column: str, corpus: DataFrame | None = Non
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, key: str, column: str, top: int = 20) -> DataFrame:
-    """Each query document's most similar corpus document by cosine, the `top` most similar pairs of these. The product is a join on terms."""
+    """Each query document's most similar corpus document by cosine, the `top` most similar pairs of these.
+
+    Terms that stand in many documents weigh little, so a query's rarest terms decide which documents can be its best. A query is scored in two
+    steps: by its heavy terms alone (in falling weight, until the rest can add no more than a share REST of its length), and then, for the pairs that those found and
+    that can still be the best, exactly by all its terms. A query whose best partial score is below what the rest could give alone is scored by all terms."""
     q = tfidf(queries, key, column, corpus).withColumnsRenamed({key: "query", "w": "qw"})
     c = tfidf(corpus, key, column)
-    scores = q.join(c, "term").groupBy("query", key).agg(F.round(F.sum(F.col("qw") * F.col("w")), 6).alias("similarity"))
+    falling = W.partitionBy("query").orderBy(F.desc("qw"), "term")
+    q = q.withColumn("rest", F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.sum(F.col("qw") * F.col("qw")).over(falling.rowsBetween(W.unboundedPreceding, -1)))))
+    q = written(q.withColumn("rest", F.coalesce("rest", F.lit(1.0))))  # the length of this term's part and all after it
+    c = written(c)
+    heavy, light = q.where(F.col("rest") > REST), q.where(F.col("rest") <= REST)
+    first = written(heavy.join(c, "term").groupBy("query", key).agg(F.sum(F.col("qw") * F.col("w")).alias("part")))
+    # the rest of a query can add REST at most to any pair (both are of unit length)
+    lead = first.groupBy("query").agg(F.max("part").alias("lead"))
+    able = first.join(lead, "query").where((F.col("part") + REST + NEAR >= F.col("lead")) & (F.col("lead") >= REST + NEAR)).select("query", key, "part")
+    tail = light.join(able.select("query", key), "query").join(c, [key, "term"]).groupBy("query", key).agg(F.sum(F.col("qw") * F.col("w")).alias("more"))
+    found = able.join(tail, ["query", key], "left").select("query", key, (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("s"))
+    open_ = q.select("query").distinct().join(lead.where(F.col("lead") >= REST + NEAR), "query", "left_anti")
+    whole = q.join(open_, "query").join(c, "term").groupBy("query", key).agg(F.sum(F.col("qw") * F.col("w")).alias("s"))
+    scores = found.unionByName(whole).select("query", key, F.round("s", 6).alias("similarity"))
     best = scores.withColumn("r", F.row_number().over(W.partitionBy("query").orderBy(F.desc("similarity"), key))).where("r = 1").drop("r")
     return best.orderBy(F.desc("similarity"), "query").limit(top)
+
+
+#: What the light terms of a query may add to a cosine, and what rounding hides.
+REST, NEAR = 0.3, 1e-6

@@ -37,36 +37,26 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, line, pos ORDER BY
 ranks AS (SELECT doc_id, line, pos, min(CASE WHEN label = 1 THEN rank END) AS rank FROM ranked GROUP BY 1, 2, 3)"""
 
 
-def _gold(t):
-    """The first token of a sentence stands for its gold target."""
-    return F.get(t, F.lit(0))["token"]
+def _found(spark, sf_dir):
+    """A row a sentence; the first token stands for its gold target."""
+    return C.with_candidates(A.sentences(spark, sf_dir), KEYS).withColumnRenamed("first", "gold")
 
 
 def _labelled(spark, sf_dir, with_sentence=False):
     """Candidates with their label; with_sentence: and the sentence."""
+    rows = _found(spark, sf_dir).select(*KEYS, *["sentence"] * with_sentence, "gold", F.inline("candidates"))
+    return rows.withColumn("label", (F.lower(F.trim("candidate")) == F.lower("gold")).cast("int")).drop("gold")
 
-    def rows(s, t, r, c):
-        same = lambda x, g: (F.lower(F.trim(x["candidate"])) == F.lower(g)).cast("int").alias("label")
-        more = [s.alias("sentence")] if with_sentence else []
-        return T.let(_gold(t), lambda g: F.transform(c, lambda x: F.struct(*[x[k].alias(k) for k in ("candidate", "start", "stop", "source")], same(x, g), *more)))
 
-    return C.per_sentence(A.sentences(spark, sf_dir), KEYS, rows)
-
-
-def _ranked(spark, sf_dir, then):
-    """then(gold, candidates in the order of a score) -> an array of structs, for each sentence with a candidate. A linear score in whole numbers stands
-    in for a trained ranker, so that SQL gives the same order."""
-
-    def rows(s, t, r, c):
-        score = lambda x: F.when(x["source"] == "NER", 100).otherwise(0) + 2 * F.length(x["candidate"]) - x["start"]
-        placed = F.transform(c, lambda x: F.struct((-score(x)).alias("order"), *[x[k].alias(k) for k in ("start", "stop", "candidate", "source")]))
-        return T.let(_gold(t), lambda g: T.let(F.sort_array(placed), lambda o: F.when(F.size(o) > 0, then(g, o))))
-
-    return C.per_sentence(A.sentences(spark, sf_dir), KEYS, rows)
+def _ranked(spark, sf_dir):
+    """candidates in the order of a score. A linear score in whole numbers stands in for a trained ranker, so that SQL gives the same order."""
+    score = lambda x: F.when(x["source"] == "NER", 100).otherwise(0) + 2 * F.length(x["candidate"]) - x["start"]
+    placed = F.transform("candidates", lambda x: F.struct((-score(x)).alias("order"), *[x[k].alias(k) for k in ("start", "stop", "candidate", "source")]))
+    return _found(spark, sf_dir).select(*KEYS, "gold", F.sort_array(placed).alias("candidates"))
 
 
 def _counts(spark, sf_dir):
-    return C.per_sentence(A.sentences(spark, sf_dir), KEYS, lambda s, t, r, c: F.when(F.size(c) > 0, F.array(F.struct(F.size(c).alias("n")))))
+    return _found(spark, sf_dir).select(F.size("candidates").alias("n"))
 
 
 @query(f"WITH {CANDIDATES} SELECT doc_id, line, pos, candidate, start, stop, source, label FROM labelled")
@@ -162,14 +152,10 @@ def ranking_metrics_with_candidate(spark, sf_dir):
     return EV.ranking_metrics(_ranks(spark, sf_dir), False)
 
 
-def _ranks(spark, sf_dir, text=lambda c: F.trim(c)):
+def _ranks(spark, sf_dir, text=F.trim):
     """The rank of the first candidate whose text is the gold target's, case ignored; null if there is none."""
-
-    def rank(g, o):
-        place = F.array_position(F.transform(o, lambda x: F.lower(text(x["candidate"])) == F.lower(g)), True)
-        return F.array(F.struct(F.nullif(place, F.lit(0)).cast("int").alias("rank")))
-
-    return _ranked(spark, sf_dir, rank)
+    place = lambda o, g: F.array_position(F.transform(o, lambda x: F.lower(text(x["candidate"])) == F.lower(g)), True)
+    return _ranked(spark, sf_dir).select(*KEYS, F.nullif(place(F.col("candidates"), F.col("gold")), F.lit(0)).cast("int").alias("rank"))
 
 
 @query(rf"""WITH {CANDIDATES}, same AS (SELECT *, lower(regexp_replace(regexp_replace(candidate, '^[\s"''“”‘’`´]+|[\s"''“”‘’`´]+$', '', 'g'), '\s+', ' ', 'g')) = lower(gold) AS hit FROM ranked),
@@ -197,14 +183,10 @@ def ranking_errors(spark, sf_dir):
 
 def _errors(spark, sf_dir):
     """The best candidate of each sentence against its gold target."""
-
-    def first(g, o):
-        own = F.get(F.filter(o, lambda x: x["candidate"] == g), F.lit(0))["source"]
-        best = F.get(o, F.lit(0))
-        return F.array(F.struct(g.alias("gold"), best["candidate"].alias("predicted"), own.alias("gs"), best["source"].alias("ps")))
-
-    error = EV.error_type(F.col("gold"), F.col("predicted"), F.col("gs"), F.col("ps"))
-    return _ranked(spark, sf_dir, first).withColumn("error", error)
+    own = F.get(F.filter("candidates", lambda x: x["candidate"] == F.col("gold")), F.lit(0))["source"]
+    best = F.get("candidates", F.lit(0))
+    rows = _ranked(spark, sf_dir).select(*KEYS, "gold", best["candidate"].alias("predicted"), own.alias("gs"), best["source"].alias("ps"))
+    return rows.withColumn("error", EV.error_type(F.col("gold"), F.col("predicted"), F.col("gs"), F.col("ps")))
 
 
 @query(f"""WITH {_ERRORS} SELECT error, n::INTEGER AS n, doc_id, line, pos, gold, predicted

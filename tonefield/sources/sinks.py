@@ -24,6 +24,13 @@ def working_dir(spark: SparkSession) -> str:
     return path.toString()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df from a working table, written once."""
+    path = f"{working_dir(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def append_facts(df: DataFrame, path: str) -> None:
     df.write.mode("append").partitionBy("fetched_date").parquet(path)
 
