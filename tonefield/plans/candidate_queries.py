@@ -226,3 +226,36 @@ r AS (SELECT *, (gold - not_found)::DOUBLE / gold AS r FROM s)
 SELECT model, gold, exact, resolved, substring, not_found, round(r, 6) AS recall, round(r - first_value(r) OVER (ORDER BY model), 6) AS recall_delta FROM r""")
 def model_comparison(spark, sf_dir):
     return EV.tier_summary(_tiers(spark, sf_dir))
+
+
+_FLAGS = {
+    "f_start": "start::DOUBLE", "f_relative_start": "start::DOUBLE / greatest(length(sentence), 1)", "f_length": "length(candidate)::DOUBLE", "f_words": f"len({_WORDS('candidate')})::DOUBLE",
+    "f_capitalised": f"({_CAPS.format('candidate')})::INTEGER::DOUBLE", "f_upper": "(candidate = upper(candidate) AND candidate <> lower(candidate))::INTEGER::DOUBLE",
+    "f_pronoun": f"(lower(candidate) IN ({_quoted(V.RANKER_PRONOUNS)}))::INTEGER::DOUBLE", "f_possessive": "ends_with(lower(candidate), '''s')::INTEGER::DOUBLE", "f_digit": "regexp_matches(candidate, '[0-9]')::INTEGER::DOUBLE",
+    "f_first": "(start = 0)::INTEGER::DOUBLE", "f_determiner": "regexp_matches(lower(candidate), '^(the|a|an) ')::INTEGER::DOUBLE", "f_length_squared": "(length(candidate) * length(candidate))::DOUBLE",
+    "f_end": "stop::DOUBLE", "f_relative_end": "stop::DOUBLE / greatest(length(sentence), 1)", "f_relative_length": "length(candidate)::DOUBLE / greatest(length(sentence), 1)",
+    "f_is_ner": "(source = 'NER')::INTEGER::DOUBLE", "f_is_pronoun": "(source = 'PRONOUN')::INTEGER::DOUBLE", "f_is_subspan": "starts_with(source, 'SUBSPAN')::INTEGER::DOUBLE", "f_is_normalized": "contains(source, 'NORMALIZED')::INTEGER::DOUBLE",
+    "f_single_word": f"(len({_WORDS('candidate')}) = 1)::INTEGER::DOUBLE", "f_two_words": f"(len({_WORDS('candidate')}) = 2)::INTEGER::DOUBLE", "f_long": f"(len({_WORDS('candidate')}) >= 4)::INTEGER::DOUBLE",
+    "f_starts_with_the": "starts_with(lower(candidate), 'the ')::INTEGER::DOUBLE", "f_hyphen": "contains(candidate, '-')::INTEGER::DOUBLE", "f_at_start": "(start <= 2)::INTEGER::DOUBLE", "f_near_start": "(start <= 20)::INTEGER::DOUBLE",
+    "f_at_end": "(stop >= greatest(length(sentence), 1) - 2)::INTEGER::DOUBLE", "f_near_end": "(stop >= greatest(length(sentence), 1) - 20)::INTEGER::DOUBLE",
+}
+
+
+@query(f"WITH {CANDIDATES} SELECT source, count(*) AS n, {', '.join(f'round(avg({x}), 6) AS {k}' for k, x in _FLAGS.items())} FROM labelled GROUP BY source")
+def candidate_features(spark, sf_dir):
+    """Means of the ranker's features by source."""
+    rows = C.features(_labelled(spark, sf_dir, True))
+    return rows.groupBy("source").agg(F.count("*").alias("n"), *[F.round(F.avg(k), 6).alias(k) for k in _FLAGS])
+
+
+@query(f"""WITH {CANDIDATES}, scored AS (SELECT (CASE WHEN source = 'NER' THEN 100 ELSE 0 END + 2 * length(candidate) - start)::DOUBLE AS score, label FROM labelled),
+counts AS (SELECT score, sum(label)::DOUBLE AS p, count(*)::DOUBLE - sum(label) AS n FROM scored GROUP BY score),
+above AS (SELECT *, sum(p) OVER (ORDER BY score DESC) - p AS more FROM counts)
+SELECT round(sum(n * (more + p / 2)) / (sum(p) * sum(n)), 6) AS auc FROM above""")
+def ranking_auc(spark, sf_dir):
+    """Area under the ROC curve of the linear score."""
+    from ..operators.ranker import roc_auc
+
+    score = F.when(F.col("source") == "NER", 100).otherwise(0) + 2 * F.length("candidate") - F.col("start")
+    rows = _labelled(spark, sf_dir).select(score.cast("double").alias("score"), F.col("label").cast("double").alias("label"))
+    return spark.createDataFrame([(round(roc_auc(rows, "score"), 6),)], "auc double")

@@ -184,3 +184,26 @@ def training_mark(spark, sf_dir):
     at = (F.position("target_text", F.col("sentence")) - 1).cast("int")
     s, t = F.col("sentence"), F.col("target_text")
     return rows.select("row_id", F.when(at >= 0, M.training_mark(s, t, at, at + F.length(t))).alias("marked"), M.baseline_text(s, t).alias("baseline"))
+
+
+_ENTRIES = 5
+
+
+@query("WITH hosts AS (SELECT DISTINCT 'https://' || regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS feed_url FROM pages) SELECT feed_url, feed_url || '/' || unnest([1, 2, 3]) AS article_url FROM hosts")
+def feed_scan(spark, sf_dir):
+    """A feed a host, made by the fetcher: five entries with a link after one without; the first three count."""
+    from ..functions import text as T
+    from ..sources import feeds
+
+    hosts = A.table(spark, sf_dir, "pages").select(F.concat(F.lit("https://"), T.netloc("url")).alias("feed_url")).distinct()
+    entry = lambda url: "<rss><item><title>none</title></item>" + "".join(f"<item><title>t</title><link>{url}/{k}</link></item>" for k in range(1, _ENTRIES + 1)) + "</rss>"
+    return feeds.feed_urls(hosts, entry, 3)
+
+
+@query(rf"""WITH {A.MENTIONS}, said AS (SELECT row_id, target_text || CASE row_id % 3 WHEN 0 THEN ' ''s  plan ' WHEN 1 THEN ' ''S' ELSE '   of  May' END AS m FROM mentions)
+SELECT row_id, trim(regexp_replace(regexp_replace(m, '\s+''\s*[sS]\b', '''s', 'g'), '\s+', ' ', 'g')) AS mention FROM said""")
+def normalised_mentions(spark, sf_dir):
+    from ..functions import text as T
+
+    tail = F.element_at(F.array(F.lit(" 's  plan "), F.lit(" 'S"), F.lit("   of  May")), (F.col("row_id") % 3 + 1).cast("int"))
+    return A.mentions(spark, sf_dir).select("row_id", T.normalise_mention(F.concat("target_text", tail)).alias("mention"))
