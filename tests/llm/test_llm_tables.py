@@ -40,6 +40,14 @@ def test_urls_clashing_columns_long_urls_and_null_ids(spark):
     assert sorted((r["page_id"] or 0, r["host"], len(r["path"]), r["n_labelled"]) for r in got) == [(0, "b.net", 1, 0), (1, "a.example.org", 1_000_001, 2), (1, "a.example.org", 1_000_001, 2)]
 
 
+def test_suffix_list(spark, tmp_path):
+    (tmp_path / "list").write_text("// comment\ncom\nco.uk\n*.ck\n!www.ck\nCOM.au // more\n\na.b.c\n")
+    two = urls.two_label_suffixes(spark, str(tmp_path / "list"))
+    assert two == ("co.uk", "com.au")
+    hosts = spark.createDataFrame([("a.b.co.uk",), ("x.y.com",), ("com.au",)], "h string")
+    assert [tuple(r) for r in hosts.select(urls.domain_of(hosts["h"], two), urls.suffix_of(hosts["h"], two)).collect()] == [("b.co.uk", "co.uk"), ("y.com", "com"), ("com.au", "com.au")]
+
+
 def test_bad_hosts_are_blocked_and_small_ones_shrunk(spark):
     rows = [(i, f"http://{h}.example.net/p", None) for i, h in enumerate(["bad"] * 40 + ["good"] * 400 + ["one"])]
     bad = [(i, int(i < 40 or i == 440)) for i in range(441)]

@@ -133,6 +133,41 @@ def test_plan_uses_every_piece_and_few_bins(seed):
     assert sum(n for _, n in plan) <= len(bins) * 1.01 + 1
 
 
+def plain_best_two_fit(lengths, capacity):
+    """Bin by bin over single pieces: the largest that fits goes in; then the smallest is replaced by the two left-over pieces whose sum is largest, if that
+    is more than it and still fits; of equal sums the pair with the larger piece."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own, gap, k = [], capacity, 0
+        while k < len(left):
+            if left[k] <= gap:
+                gap -= left[k]
+                own.append(left.pop(k))
+            else:
+                k += 1
+        if gap:
+            small = min(own)
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= gap + small]
+            if pairs:
+                _, a, b = max(pairs, key=lambda p: (p[0], p[1]))
+                own.remove(small)
+                left.remove(a), left.remove(b)
+                own += [a, b]
+                left = sorted([*left, small], reverse=True)
+        bins.append(tuple(sorted(own)))
+    return bins
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_plan_equals_plain_best_two_fit(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([7, 20, 64])
+    lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 60))]
+    plan = packing.fill(np.bincount(lengths, minlength=capacity + 1))
+    got = [tuple(sorted(x for x, n in content.items() for _ in range(n))) for content, often in plan for _ in range(often)]
+    assert Counter(got) == Counter(plain_best_two_fit(lengths, capacity))
+
+
 def test_smallest_is_replaced_by_two():
     counts = np.zeros(11, np.int64)
     for x in (6, 3, 2, 2):
@@ -282,6 +317,26 @@ def test_language_odd_rows(spark, corpus):
     assert [r["lang_pred"] for r in langid.predict(docs(spark, [(1, "abc")]), none).collect()] == ["und"]
 
 
+# columns that operators might use for themselves
+
+
+@pytest.mark.parametrize("apply", [lambda d: lines.dedup(d), lambda d: suffixes.repeats(d), lambda d: ngram_join.join(d), lambda d: bpe.encode_decode(d, digest=True), lambda d: packing.pack(d)])
+def test_other_columns_do_not_matter(spark, apply):
+    names = ("h", "line", "part", "chunk", "n", "sid", "i", "t", "no_id", "first", "start", "pos", "DATA")
+    rows = [(1, "a b c d e f\nx"), (2, "a b c d e f\ny " * 20), (None, "z"), (2, "a b c d e f\ny " * 20), (3, None)]
+    plain = apply(spark.createDataFrame(rows, "doc_id long, text string"))
+    wide = apply(spark.createDataFrame([(*r, *["?"] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{x} string" for x in names)))
+    assert plain.columns == wide.columns
+    drop = [c for c in ("sequence_id", "offset") if c in plain.columns]
+    assert Counter(map(str, plain.drop(*drop).collect())) == Counter(map(str, wide.drop(*drop).collect()))
+
+
+@pytest.mark.parametrize("apply", [lambda d: lines.dedup(d), lambda d: suffixes.repeats(d, with_text=True), lambda d: ngram_join.join(d), lambda d: bpe.encode_decode(d)])
+def test_very_long_texts(spark, apply):
+    rows = [(1, "word " * 200_000), (2, "x" * 1_000_000 + "\n" + "y" * 10), (3, "\n" * 300_000 + "y" * 10)]
+    assert apply(docs(spark, rows)).count() == 3
+
+
 # lines
 
 

@@ -90,7 +90,7 @@ def estimated(a: Coded, b: Coded) -> tuple[np.ndarray, np.ndarray]:
 def open_pairs(a: Coded, b: Coded, threshold: float, block: int = 512):
     """Index pairs that the bound leaves open."""
     for k in range(0, len(a.step), block):
-        estimate, bound = estimated(a.part(slice(k, k + block)), b)
+        estimate, bound = estimated(a.part(slice(k, k + block)) if len(a.step) > block else a, b)
         i, j = np.nonzero(estimate + bound >= threshold)
         yield i + k, j
 
@@ -123,37 +123,48 @@ CODED = "bucket long, dim int, id long, h1 long, copies long, unit binary, code
 
 
 def groups_of(batches, keys: list[str]):
-    """Batches sorted by keys -> one frame a key, also where a key runs across batches."""
-    import pandas as pd
-
+    """Batches sorted by keys -> the columns of each key's rows as arrays, also where a key runs across batches. Keys of one row are left out."""
     held = None
     for pdf in batches:
+        now = {c: pdf[c].to_numpy() for c in pdf.columns}
         if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        if not len(pdf):
+            now = {c: np.concatenate([held[c], x]) for c, x in now.items()}
+        n = len(now[keys[0]])
+        if not n:
             continue
-        k = pdf[keys].to_numpy()
-        cuts = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
-        edges = [0, *cuts, len(pdf)]
+        other = np.zeros(n - 1, bool)
+        for k in keys:
+            other |= now[k][1:] != now[k][:-1]
+        edges = [0, *(np.flatnonzero(other) + 1).tolist(), n]
         for s, e in zip(edges[:-2], edges[1:-1], strict=True):
             if e - s > 1:
-                yield pdf.iloc[s:e]
-        held = pdf.iloc[edges[-2] :]
-    if held is not None and len(held) > 1:
+                yield {c: x[s:e] for c, x in now.items()}
+        held = {c: x[edges[-2] :] for c, x in now.items()}
+    if held is not None and len(held[keys[0]]) > 1:
         yield held
 
 
 UNIT = ["bucket", "dim", "band", "code_of_band", "ti", "tj"]
 
 
+def _matrix(column, kind) -> np.ndarray:
+    """Binary values of equal length as rows."""
+    return np.frombuffer(b"".join(column), kind).reshape(len(column), -1)
+
+
 def _pairs_of(group, threshold: float):
     """Index pairs of a unit of work that are open, each in the first band where it meets."""
-    band, ti, tj = (int(group[c].iloc[0]) for c in ("band", "ti", "tj"))
-    coded = Coded(*(np.stack([np.frombuffer(x, kind) for x in group[c]]) if kind else group[c].to_numpy() for c, kind in (("code", np.uint8), ("factor", None), ("steps", np.int8), ("step", None))))
-    side, before = group["tile"].to_numpy(), np.stack(group["before"].to_numpy()).reshape(len(group), band)
-    a = np.flatnonzero(side == ti)
-    b = a if ti == tj else np.flatnonzero(side == tj)
-    for i, j in open_pairs(coded.part(a), coded.part(b), threshold):
+    band, ti, tj = (int(group[c][0]) for c in ("band", "ti", "tj"))
+    coded = Coded(_matrix(group["code"], np.uint8), group["factor"], _matrix(group["steps"], np.int8), group["step"])
+    before = np.concatenate(group["before"]).reshape(len(group["id"]), band)
+    if ti == tj:
+        a = b = np.arange(len(group["id"]))
+        sides = coded, coded
+    else:
+        side = group["tile"]
+        a, b = np.flatnonzero(side == ti), np.flatnonzero(side == tj)
+        sides = coded.part(a), coded.part(b)
+    for i, j in open_pairs(*sides, threshold):
         i, j = a[i], b[j]
         keep = (i < j) if ti == tj else np.ones(len(i), bool)
         keep[keep] &= ~(before[i[keep]] == before[j[keep]]).any(1)
@@ -164,12 +175,14 @@ def _open(threshold: float):
     """The rows of a unit whose vectors are needed."""
 
     def run(batches):
+        import pandas as pd
+
         for group in groups_of(batches, UNIT):
-            needed = np.zeros(len(group), bool)
+            needed = np.zeros(len(group["id"]), bool)
             for i, j in _pairs_of(group, threshold):
                 needed[i] = needed[j] = True
             if needed.any():
-                yield group[needed]
+                yield pd.DataFrame({c: x[needed] for c, x in group.items()})
 
     return run
 
@@ -179,8 +192,8 @@ def _links(threshold: float):
         import pandas as pd
 
         for group in groups_of(batches, UNIT):
-            ids, copies = group["id"].to_numpy(), group["copies"].to_numpy()
-            unit = np.stack([np.frombuffer(x) for x in group["unit"]])
+            ids, copies = group["id"], group["copies"]
+            unit = _matrix(group["unit"], np.float64)
             parts = []
             for i, j in _pairs_of(group, threshold):
                 for m in range(0, len(i), 1_000_000):
@@ -195,7 +208,7 @@ def _links(threshold: float):
             links = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
             root = dict(zip(*(x.tolist() for x in common.forest(ids[i], ids[j])), strict=True))
             at = np.flatnonzero(links)
-            yield pd.DataFrame({"id": ids[at], "h1": group["h1"].to_numpy()[at], "links": links[at].astype(np.int64), "root": [root[x] for x in ids[at].tolist()]})
+            yield pd.DataFrame({"id": ids[at], "h1": group["h1"][at], "links": links[at].astype(np.int64), "root": [root[x] for x in ids[at].tolist()]})
 
     return run
 

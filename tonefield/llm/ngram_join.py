@@ -256,8 +256,8 @@ def _verify(percent: int):
         import pandas as pd
 
         for group in groups_of(batches, ["cluster", "ti", "tj"]):
-            across = group["ti"].iloc[0] != group["tj"].iloc[0]
-            ids, low = linked([np.frombuffer(x, np.uint64) for x in group["own"]], group["sid"].to_numpy(), percent, group["tile"].to_numpy() if across else None)
+            across = group["ti"][0] != group["tj"][0]
+            ids, low = linked([np.frombuffer(x, np.uint64) for x in group["own"]], group["sid"], percent, group["tile"] if across else None)
             other = ids != low
             if other.any():
                 yield pd.DataFrame({"a": ids[other], "b": low[other]})
