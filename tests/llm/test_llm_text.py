@@ -370,6 +370,41 @@ def test_lines_equal_brute_force(spark, least):
     assert got == brute_lines(rows, least)
 
 
+def test_runs_across_tasks(spark):
+    """One long document's lines are numbered by several tasks; its run of all lines must stay whole."""
+    names = ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.enabled")
+    before = {x: spark.conf.get(x) for x in names}
+    for x in names:
+        spark.conf.set(x, "false")
+    try:
+        whole = "\n".join(f"w{k}" for k in range(2000))
+        got = {r["doc_id"]: r["n_removed"] for r in lines.dedup(docs(spark, [(1, whole), (2, whole), (3, "w7\nw8")]), 1500).collect()}
+    finally:
+        for x in names:
+            spark.conf.set(x, before[x])
+    assert got == {1: 0, 2: 2000, 3: 0}
+
+
+def test_ranks_are_those_of_a_suffix_array(spark):
+    rng = random.Random(9)
+    table, at = [], 0
+    for _ in range(12):
+        n = rng.randint(1, 9)
+        own = [rng.randint(0, 3) for _ in range(n)]
+        table += [(at + k, v, 0, n - k) for k, v in enumerate(own)]
+        at += n + 1
+    word = {p: v for p, v, _, _ in table}
+    levels = lines.doubled(spark.createDataFrame(table, "pos long, v1 long, v2 long, left long"))
+    for k, level in enumerate(levels):
+        span = 1 << k
+        windows = {p: tuple(word[p + j] for j in range(span)) for p, _, _, left in table if left >= span}
+        times = Counter(windows.values())
+        order = sorted(w for w, n in times.items() if n > 1)
+        want = {p: (order.index(w), min(q for q, x in windows.items() if x == w)) for p, w in windows.items() if times[w] > 1}
+        assert {r["pos"]: (r["r"], r["first"]) for r in level.collect()} == want
+    assert len(levels) > 1
+
+
 def test_lines_odd_rows(spark):
     got = lines.dedup(docs(spark, ODD), 1).collect()
     assert len(got) == len(ODD)

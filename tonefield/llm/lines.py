@@ -1,9 +1,9 @@
 """Operator 3: line deduplication over a suffix array of line sequences, by distributed prefix doubling.
 
-A line's id is the earliest place of its text. Doubling names every window of 2^k lines by its earliest place: windows
-are named from the names of their halves, and only windows that occur more than once go on, so the tables shrink. Windows of equal
-name are an interval of the suffix array whose common prefix is 2^k lines at least. Going down through the powers again finds, for every
-place, the longest run that also starts earlier (the deepest such interval). A run of at least `min_words` words is deleted with all
+A line's id is the rank of its text's hash. Doubling ranks the suffixes by their first 2^k lines, from the ranks of both halves;
+only those that share them with another go on, so the tables shrink. Suffixes of equal rank are an interval of the suffix array whose
+common prefix is 2^k lines at least. Going down through the powers again finds the longest-common-prefix intervals between the powers, and for every
+place the deepest one that has an earlier suffix: the longest run that also starts earlier. A run of at least `min_words` words is deleted with all
 its lines; the earliest copy stays, so one copy of every run is kept.
 
 Lines are what newlines separate, without outer white space; blank lines count for nothing and stay where they are. Each
@@ -78,71 +78,79 @@ def _numbered(batches):
 
     part, n = TaskContext.get().partitionId(), 0
     for pdf in batches:
-        ends = (pdf["left"] == 1).to_numpy()
-        nth = n + np.arange(len(pdf)) + np.cumsum(ends) - ends
+        gap = pdf["gap"].to_numpy().astype(np.int64)
+        nth = n + np.arange(len(pdf)) + np.cumsum(gap) - gap
         yield pdf.assign(part=part, nth=nth)
-        n += len(pdf) + int(ends.sum())
+        n += len(pdf) + int(gap.sum())
 
 
-def in_order(places: DataFrame) -> DataFrame:
-    """places with pos: their rank by (doc_id, h, line), with a number left out after each stretch of such lines, so
-    that no window runs beyond its stretch. The same document twice shares its ranks."""
-    ranked = places.groupBy("doc_id", "h", "line").agg(F.first("v1").alias("v1"), F.first("v2").alias("v2"), F.first("left").alias("left")).orderBy("doc_id", "h", "line")
-    ranked = common.materialize(ranked.mapInPandas(_numbered, "doc_id long, h long, line long, v1 long, v2 long, left long, part int, nth long"))
-    sizes = {r["part"]: r["n"] for r in ranked.groupBy("part").agg((F.max("nth") + 2).alias("n")).collect()}  # a row a task
-    total, rows = 0, []
+def numbered(rows: DataFrame, order: list[str], name: str, gap: str = "false") -> DataFrame:
+    """rows with name: their number in the order of these columns, from 0, with a number left out after each row where gap holds. Tasks of a
+    range-partitioned sort count their own rows; what stands before a task is added up over a row a task."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    own = common.materialize(rows.withColumn("gap", F.expr(gap)).orderBy(*order).mapInPandas(_numbered, f"{kinds}, gap boolean, part int, nth long"))
+    sizes = {r["part"]: r["n"] for r in own.groupBy("part").agg((F.max(F.col("nth") + F.col("gap").cast("long")) + 1).alias("n")).collect()}  # a row a task
+    before, total = [], 0
     for p in sorted(sizes):
-        rows.append((p, total))
+        before.append((p, total))
         total += sizes[p]
-    before = places.sparkSession.createDataFrame(rows, "part int, before long")
-    return common.materialize(ranked.join(before, "part").select("doc_id", "h", "line", "v1", "v2", "left", (F.col("before") + F.col("nth")).alias("pos")))
+    offsets = rows.sparkSession.createDataFrame(before, "part int, before long")
+    return common.materialize(own.join(offsets, "part").select(*rows.columns, (F.col("before") + F.col("nth")).alias(name)))
+
+
+def in_order(places: DataFrame) -> DataFrame:
+    """places with pos: their number by (doc_id, h, line), with one left out after each stretch of such lines, so
+    that no window runs beyond its stretch. The same document twice shares its numbers."""
+    own = places.groupBy("doc_id", "h", "line").agg(F.first("v1").alias("v1"), F.first("v2").alias("v2"), F.first("left").alias("left"))
+    return numbered(own, ["doc_id", "h", "line"], "pos", "left = 1")
 
 
-def named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (pos, left, keys): those whose keys occur again, with n = the earliest pos of theirs."""
+def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (pos, left, keys): those whose keys occur again, with r = the rank of their keys among these, and first = the earliest pos of theirs."""
     rows = common.materialize(rows)
-    names = common.materialize(rows.groupBy(*keys).agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
-    return common.materialize(rows.join(names, keys).select("pos", "left", F.col("first").alias("n")))
+    again = rows.groupBy(*keys).agg(F.min("pos").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
+    return common.materialize(rows.join(numbered(again, keys, "rank"), keys).select("pos", "left", F.col("rank").alias("r"), "first"))
 
 
 def doubled(ordered: DataFrame) -> list[DataFrame]:
-    """Level k: (pos, left, n) of the windows of 2^k lines that occur more than once."""
-    now = named(ordered.select("pos", "left", "v1", "v2"), ["v1", "v2"])
+    """Level k: (pos, left, r, first) of the windows of 2^k lines that occur more than once: the suffixes' ranks by their first 2^k lines. Those of
+    equal rank are neighbours in the suffix array, an interval whose common prefix is 2^k lines at least; first is the interval's earliest suffix."""
+    now = ranked(ordered.select("pos", "left", "v1", "v2"), ["v1", "v2"])
     out = []
     while not now.isEmpty():
         out.append(now)
         span = 1 << (len(out) - 1)
-        second = now.select((F.col("pos") - span).alias("pos"), F.col("n").alias("n2"))
-        now = named(now.where(F.col("left") >= 2 * span).join(second, "pos").select("pos", "left", "n", "n2"), ["n", "n2"])
+        second = now.select((F.col("pos") - span).alias("pos"), F.col("r").alias("r2"))
+        now = ranked(now.where(F.col("left") >= 2 * span).join(second, "pos").select("pos", "left", "r", "r2"), ["r", "r2"])
     return out
 
 
 def longest(levels: list[DataFrame]) -> DataFrame:
-    """(pos, off): the longest run from pos that also starts earlier.
+    """(pos, off): the longest run from pos that also starts earlier, the deepest interval around pos that has an earlier suffix.
 
-    A place joins the class of the longest window it shares with an earlier one, and then longer classes as the powers go down. The earliest member of
-    a class stays behind as its witness (ghost), so later members still find it.
+    A suffix begins in the deepest interval of a power of two that has an earlier suffix, and then enters narrower ones as the powers go down. The earliest member of
+    an interval stays behind as its witness (ghost), so later members still find it.
     """
     found = None
     for k, t in enumerate(levels):
-        later = t.where("pos > n").select("pos", F.lit(k).alias("k"), "n")
+        later = t.where("pos > first").select("pos", F.lit(k).alias("k"), "first")
         found = later if found is None else found.unionAll(later)
-    best = common.materialize(found.groupBy("pos").agg(F.max(F.struct("k", "n")).alias("b")).select("pos", "b.k", "b.n"))
+    best = common.materialize(found.groupBy("pos").agg(F.max(F.struct("k", "first")).alias("b")).select("pos", "b.k", "b.first"))
     off = F.expr("shiftleft(1L, k)")
     single = best.where("k = 0").select("pos", F.lit(1).cast("long").alias("off"))
     longer = best.where("k > 0")
-    ghosts = longer.select(F.col("n").alias("pos"), off.alias("off"), F.col("n").alias("cm")).distinct().withColumn("ghost", F.lit(True))
-    state = longer.select("pos", off.alias("off"), F.col("n").alias("cm"), F.lit(False).alias("ghost")).unionAll(ghosts)
+    ghosts = longer.select(F.col("first").alias("pos"), off.alias("off"), F.col("first").alias("interval")).distinct().withColumn("ghost", F.lit(True))
+    state = longer.select("pos", off.alias("off"), F.col("first").alias("interval"), F.lit(False).alias("ghost")).unionAll(ghosts)
     for j in range(len(levels) - 2, -1, -1):
-        names = levels[j].select(F.col("pos").alias("to"), F.col("n").alias("name"))
+        ranks = levels[j].select(F.col("pos").alias("to"), "r")
         active = state.withColumn("to", F.when(F.col("off") >= (2 << j), F.col("pos") + F.col("off")).otherwise(-1 - F.col("pos")))
-        state = common.materialize(active.join(names, "to", "left").select("pos", "off", "cm", "ghost", "name"))
-        groups = common.materialize(state.where("name IS NOT NULL").groupBy("cm", "off", "name").agg(F.min("pos").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c"))
-        met = state.join(groups, ["cm", "off", "name"], "left")
+        state = common.materialize(active.join(ranks, "to", "left").select("pos", "off", "interval", "ghost", "r"))
+        inner = common.materialize(state.where("r IS NOT NULL").groupBy("interval", "off", "r").agg(F.min("pos").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c"))
+        met = state.join(inner, ["interval", "off", "r"], "left")
         go = F.coalesce((F.col("pos") > F.col("m")) & ~F.col("ghost"), F.lit(False))
-        state = met.select("pos", F.when(go, F.col("off") + (1 << j)).otherwise(F.col("off")).alias("off"), F.when(go, F.col("m")).otherwise(F.col("cm")).alias("cm"), "ghost")
+        state = met.select("pos", F.when(go, F.col("off") + (1 << j)).otherwise(F.col("off")).alias("off"), F.when(go, F.col("m")).otherwise(F.col("interval")).alias("interval"), "ghost")
         if j:
-            state = state.unionAll(groups.select(F.col("m").alias("pos"), (F.col("off") + (1 << j)).alias("off"), F.col("m").alias("cm"), F.lit(True).alias("ghost")))
+            state = state.unionAll(inner.select(F.col("m").alias("pos"), (F.col("off") + (1 << j)).alias("off"), F.col("m").alias("interval"), F.lit(True).alias("ghost")))
     return common.materialize(state.where("NOT ghost").select("pos", "off").unionAll(single))
 
 
